@@ -1,0 +1,2 @@
+"""No streaming operators: the surveyed engine is batch only, and Structured Streaming is
+available on any DataFrame of this engine without a wrapper."""
