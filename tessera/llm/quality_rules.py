@@ -48,14 +48,15 @@ def mask(policy: str) -> int:
     return sum(bit(r) for r in POLICIES[policy])
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id and the measurements: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
+def measure(docs: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, the ``carry`` columns and the measurements: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
     text = F.col("text")
     # array<string> of words, then array<bigint> of the hashes of all three-word windows
-    df = docs.select("doc_id", text_or_empty().alias("text")).withColumn("words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    df = docs.select("doc_id", *carry, text_or_empty().alias("text")).withColumn("words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     df = df.select(
         "doc_id",
+        *carry,
         "words",
         F.size("words").cast("bigint").alias("n_words"),
         (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("bigint").alias("n_symbols"),
@@ -64,7 +65,7 @@ def measure(docs: DataFrame) -> DataFrame:
     )
     windows = F.expr("transform(slice(words, 1, greatest(size(words) - 2, 0)), (w, i) -> xxhash64(w, words[i + 1], words[i + 2]))")
     df = df.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", F.size("lines").cast("bigint").alias("n_lines"),
+        "doc_id", *carry, "n_words", "word_chars", "n_symbols", F.size("lines").cast("bigint").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"), windows.alias("windows"),
     )
     # Only texts with a repeated window pay for the sort that finds where it stands.
@@ -76,16 +77,17 @@ def measure(docs: DataFrame) -> DataFrame:
     df = df.withColumn("starts", starts).drop("placed")
     covered = F.expr("aggregate(transform(starts, (p, j) -> least(3, coalesce(get(starts, j + 1) - p, 3))), 0, (a, x) -> a + x)")
     return df.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words")
-    )
+        "doc_id", *carry, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
+        F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"),
+    )
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, the measurements, and ``fail_bits``: the bit of every rule that the document fails."""
+def ledger(docs: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, the ``carry`` columns, the measurements, and ``fail_bits``: the bit of every rule that the document fails."""
     bits = F.lit(0).cast("bigint")
     for rule, condition in RULES.items():
         bits = bits.bitwiseOR(F.when(F.expr(condition), F.lit(bit(rule)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return measure(docs).withColumn("fail_bits", bits)
+    return measure(docs, *carry).withColumn("fail_bits", bits)
 
 
 def passes(policy: str) -> Column:
@@ -93,6 +95,17 @@ def passes(policy: str) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(mask(policy)).cast("bigint")) == 0
 
 
+def passing(docs: DataFrame, policy: str) -> DataFrame:
+    """The rows of ``docs`` that pass a policy, with all their columns, without a join or shuffle.
+
+    The row number stands between the measurements and the filter: Catalyst pushes no predicate below
+    it, and so doesn't put the measurements, many times over, into the condition.
+    """
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("__row"))
+    book = ledger(packed, "__row").select("__row", "fail_bits", F.monotonically_increasing_id().alias("__number"))
+    return book.filter(passes(policy) & (F.col("__number") >= 0)).select("__row.*")
+
+
 def ablation(book: DataFrame, policy: str) -> DataFrame:
     """One row a rule of the policy: failed, failed_alone (that rule only), kept, kept_without.
 
