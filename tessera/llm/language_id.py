@@ -30,6 +30,8 @@ from tessera.llm.common import arrow_map
 DIMENSIONS = 1024
 #: Letter classes, a power of two: 0 is the boundary, 1 to 26 are a-z.
 CLASSES = 64
+#: Languages whose trigram counts a task holds before it bundles them.
+HELD = 32
 SEED = 20
 
 
@@ -77,12 +79,19 @@ def profiles() -> Profiles:
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's bundle for each language: lang, dimension, sum."""
+    """A task's bundles for each language: lang, dimension, sum. Counts of HELD languages are held at a time."""
     p, counts = profiles(), {}
     for b in batches:
         for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if (found := p.trigrams(text)) is not None:
+                if lang not in counts and len(counts) == HELD:
+                    yield from _bundles(p, counts)
+                    counts = {}
                 counts.setdefault(lang, np.zeros(CLASSES**3, dtype=np.int64))[found[0]] += found[1]
+    yield from _bundles(p, counts)
+
+
+def _bundles(p: Profiles, counts: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for lang, n in counts.items():
         ids, total = np.flatnonzero(n), np.zeros(DIMENSIONS, dtype=np.int64)
         for at in range(0, len(ids), 1024):
