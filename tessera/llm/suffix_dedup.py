@@ -46,11 +46,13 @@ GRAM = 20
 #: Distinct segments of an anchor beyond which its windows are spread one by one.
 HOT = 2048
 #: Text bytes that an owner task gets anchors of, and segment bytes that a suffix array is built of.
-OWNED, SORTED = 8 << 20, 1 << 20
+OWNED, SORTED = 8 << 20, 128 << 10
+#: Suffix arrays that a task builds one after the other.
+FINE = 16
 #: Bits of the anchor bitmaps: at least, and at most (64 MB).
 LEAST_BITS, MOST_BITS = 20, 29
-#: A text is cut this many window starts at a time.
-CHUNK = 2 << 20
+#: A text is cut this many window starts at a time; short texts are cut together, up to so many bytes.
+CHUNK, GROUP = 2 << 20, 64 << 10
 
 NO_ID = -(2**63)
 _M1 = np.uint64(0x9E3779B97F4A7C15)
@@ -85,8 +87,11 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def _cut(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+def _cut(raw: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Segments of texts that stand one behind the other in ``raw``: text number, first window, windows, anchor hash, segment hash."""
     n, w = len(raw), length - gram + 1
+    if n < length:
+        return tuple(np.zeros(0, dtype=k) for k in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     up, down = _POWERS.get(n + 1)
     prefix = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * down[:n], out=prefix[1:])
@@ -100,30 +105,57 @@ def _cut(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     if step < w:
         least = np.minimum(least[: len(least) - (w - step)], least[w - step :])
     anchor = (least & place).astype(np.int64)
-    starts = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1])
-    counts = np.diff(np.concatenate([starts, [len(anchor)]]))
+    ends = np.cumsum(sizes)
+    fresh = np.zeros(n + 1, dtype=bool)
+    fresh[ends - sizes] = True  # a text begins
+    fresh = fresh[: len(anchor)]
+    fresh[1:] |= anchor[1:] != anchor[:-1]
+    fresh[0] = True
+    starts = np.flatnonzero(fresh)
+    stops = np.concatenate([starts[1:], [len(anchor)]])
+    text = np.searchsorted(ends, starts, side="right")
+    counts = np.minimum(stops, ends[text] - length + 1) - starts  # windows don't reach over the end of their text
+    ok = counts > 0
+    starts, counts, text = starts[ok], counts[ok], text[ok]
     whole = (prefix[starts + counts + length - 1] - prefix[starts]) * up[starts]
-    return starts, counts, value[anchor[starts]], _mix(whole ^ _mix(counts.astype(np.uint64)))
-
-
-def segments(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Segments of a text: first window, number of windows, anchor hash, hash of the segment's bytes."""
-    windows = len(raw) - length + 1
-    if windows <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    parts = []
-    for at in range(0, windows, CHUNK):
-        starts, *rest = _cut(raw[at : at + CHUNK + length - 1], length, gram)
-        parts.append((starts + at, *rest))
+    return text, starts - (ends - sizes)[text], counts, value[anchor[starts]], _mix(whole ^ _mix(counts.astype(np.uint64)))
+
+
+def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Segments of texts: text number, first window, number of windows, anchor hash, hash of the segment's bytes.
+
+    Short texts are cut together, long ones a chunk of windows at a time; where a chunk ends matters to no result.
+    """
+    parts, group, size = [], [], 0
+
+    def cut(texts: list[bytes], first: int, at: int = 0) -> None:
+        number, start, *rest = _cut(np.frombuffer(b"".join(texts), dtype=np.uint8), np.array([len(t) for t in texts]), length, gram)
+        parts.append((number + first, start + at, *rest))
+
+    for i, t in enumerate(texts):
+        if group and size + len(t) > GROUP:
+            cut(group, i - len(group))
+            group, size = [], 0
+        if len(t) <= CHUNK:
+            group.append(t)
+            size += len(t)
+            continue
+        for at in range(0, len(t) - length + 1, CHUNK):
+            cut([t[at : at + CHUNK + length - 1]], i, at)
+    if group:
+        cut(group, len(texts) - len(group))
+    if not parts:
+        return _cut(np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int64), length, gram)
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if len(parts) > 1 else parts[0]
 
 
-def _documents(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[tuple]:
-    """doc_id, bytes and segments of each document."""
+def _cut_batches(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[tuple]:
+    """Texts of a batch, and of their segments: text number, doc_id, first window, windows, anchor hash, segment hash."""
     for b in batches:
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            raw = np.frombuffer(text, dtype=np.uint8)
-            yield (NO_ID if doc_id is None else doc_id), raw, segments(raw, length, gram)
+        texts = b.column(1).to_pylist()
+        ids = np.array([NO_ID if d is None else d for d in b.column(0).to_pylist()], dtype=np.int64)
+        number, *rest = segments(texts, length, gram)
+        yield texts, number, ids[number], *rest
 
 
 class _Bitmap:
@@ -224,8 +256,10 @@ def _sort_directly(at: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def suffix_array(text: np.ndarray, depth: int = LENGTH, words: np.ndarray | None = None) -> np.ndarray:
-    """All suffixes in the order of their first ``depth`` bytes, by two-stage sorting.
+def suffix_array(text: np.ndarray, depth: int = LENGTH, words: np.ndarray | None = None, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Suffixes in the order of their first ``depth`` bytes, by two-stage sorting.
+
+    With ``wanted``, the array has these positions and those from which they are induced, else all.
 
     Suffixes smaller than their successors are sorted directly. The others are induced by one scan over
     the buckets of first bytes, from low to high: when a bucket is complete, the predecessors of its
@@ -237,16 +271,25 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH, words: np.ndarray | None
         return np.zeros(0, dtype=np.int64)
     words = words_of(text, depth) if words is None else words
     small = smaller_than_successor(text)
-    direct = _sort_directly(np.flatnonzero(small), words, depth)
+    active = np.ones(n, dtype=bool) if wanted is None else wanted.copy()
+    new = np.flatnonzero(active & ~small)
+    while wanted is not None and len(new):
+        new = new[new < n - 1] + 1
+        new = new[~active[new]]
+        active[new] = True
+        new = new[~small[new]]
+    direct = _sort_directly(np.flatnonzero(small & active), words, depth)
+    larger = active & ~small
     edge = np.searchsorted(text[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[text[-1]].append(np.array([n - 1]))  # the empty suffix behind it comes before all
+    if larger[-1]:
+        waiting[text[-1]].append(np.array([n - 1]))  # the empty suffix behind it comes before all
     out = []
 
     def induce(done: np.ndarray, byte: int) -> np.ndarray:
         """Hands predecessors to their buckets; returns those of this bucket."""
         before = done[done > 0] - 1
-        before = before[~small[before]]
+        before = before[larger[before]]
         first = text[before]
         later = before[first > byte]
         by = text[later]
@@ -266,7 +309,7 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH, words: np.ndarray | None
         if len(part):
             out.append(part)
             induce(part, byte)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
 def common_prefixes(order: np.ndarray, words: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -292,7 +335,7 @@ def repeated_windows(text: np.ndarray, doc: np.ndarray, at: np.ndarray, valid: n
     ``doc`` and ``at`` give each position's place; only ``valid`` positions start a window.
     """
     words = words_of(text, length)
-    order = suffix_array(text, length, words)
+    order = suffix_array(text, length, words, valid)
     shared = common_prefixes(order, words, length)
     group = np.cumsum(shared < length)
     ok = valid[order]
@@ -336,7 +379,7 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     bits = max(bits, owners.bit_length() + 3)
 
     def send_anchors(batches):
-        keys = [k for _, _, (_, _, k, _) in _documents(batches, length, gram)]
+        keys = [key for *_, key, _ in _cut_batches(batches, length, gram)]
         keys = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
         third = np.zeros(len(keys), dtype=bool)
         third[2:] = keys[2:] == keys[:-2]  # two of a kind say as much as more
@@ -355,10 +398,10 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
 
     def send_segments(batches):
         marked, out = _Bitmap(shared.value, bits), []
-        for doc, _, (at, _, key, whole) in _documents(batches, length, gram):
+        for _, _, doc, at, _, key, whole in _cut_batches(batches, length, gram):
             hit = marked(key)
             e = np.empty(int(hit.sum()), dtype=_ENTRY)
-            e["key"], e["hash"], e["doc"], e["at"] = key[hit], whole[hit], doc, at[hit]
+            e["key"], e["hash"], e["doc"], e["at"] = key[hit], whole[hit], doc[hit], at[hit]
             out.append(e)
         e = _firsts(np.concatenate(out)) if out else np.zeros(0, dtype=_ENTRY)
         yield from _blobs((b, e[s].tobytes()) for b, s in _parts(e["key"], owners))
@@ -400,17 +443,14 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
         """
         marked, spread, held, later, size = _Bitmap(several.value, bits), _Bitmap(many.value, bits), {}, [], 0
         shift = 65 - sorters.bit_length()
-        for doc, raw, (at, n, key, _) in _documents(batches, length, gram):
+        for texts, number, docs_, at, n, key, _ in _cut_batches(batches, length, gram):
             hit = np.flatnonzero(marked(key))
-            wide = spread(key[hit])
-            for i, single in zip(hit.tolist(), wide.tolist(), strict=True):
-                start, count = int(at[i]), int(n[i])
+            columns = (number[hit], docs_[hit], at[hit], n[hit], key[hit], spread(key[hit]))
+            for i, doc, start, count, k, single in zip(*(c.tolist() for c in columns), strict=True):
                 for s in range(start, start + count) if single else (start,):
-                    piece = raw[s : s + (length if single else count + length - 1)].tobytes()
-                    if single:
-                        where = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "big") >> shift if sorters > 1 else 0
-                    else:
-                        where = int(key[i]) >> shift if sorters > 1 else 0
+                    piece = texts[i][s : s + (length if single else count + length - 1)]
+                    h = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "big") if single else k
+                    where = h >> shift if sorters > 1 else 0
                     place = held.get((where, piece))
                     if place is None:
                         size += len(piece)
@@ -424,29 +464,39 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
         yield from _segment_rows(held, later, sorters)
 
     def sort(batches):
-        places, texts = [], []
+        """Suffix arrays of the fine buckets of a task, one after the other."""
+        buckets: dict[int, dict[bytes, tuple[int, int]]] = {}
         for b in batches:
             known = b.filter(pc.greater(b.column(3), 0))
             if known.num_rows:
                 yield known.select(["doc_id", "at", "n"])
-            b = b.filter(pc.equal(b.column(3), 0))
-            places += zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
-            texts += b.column(4).to_pylist()
-        if not texts:
-            return
-        sizes = np.array([len(t) for t in texts])
-        text = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        inside = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        doc = np.repeat(np.array([d for d, _ in places], dtype=np.int64), sizes)
-        at = np.repeat(np.array([a for _, a in places], dtype=np.int64), sizes) + inside
-        valid = inside + length <= np.repeat(sizes, sizes)
-        found = repeated_windows(text, doc, at, valid, length)
-        if not len(found):
-            return
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _runs(doc[found], at[found])], ["doc_id", "at", "n"])
-
-    segments_ = arrow_map(rows, send_bytes, "bucket int, doc_id long, at long, n long, text binary").repartitionById(sorters, F.col("bucket"))
-    again = written(arrow_map(segments_, sort, "doc_id long, at long, n long"), "repeated-windows")
+            later = []
+            for bucket, doc, at, n, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if n:
+                    continue
+                held = buckets.setdefault(bucket, {})
+                place = held.get(text)
+                if place is not None and place != (doc, at):
+                    later.append((*max(place, (doc, at)), len(text) - length + 1))
+                if place is None or (doc, at) < place:
+                    held[text] = (doc, at)
+            if later:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.array(later, dtype=np.int64).T], ["doc_id", "at", "n"])
+        while buckets:
+            _, held = buckets.popitem()
+            sizes = np.array([len(t) for t in held])
+            text = np.frombuffer(b"".join(held), dtype=np.uint8)
+            inside = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            places = np.array(list(held.values()), dtype=np.int64)
+            doc, at = np.repeat(places[:, 0], sizes), np.repeat(places[:, 1], sizes) + inside
+            found = repeated_windows(text, doc, at, inside + length <= np.repeat(sizes, sizes), length)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _runs(doc[found], at[found])], ["doc_id", "at", "n"])
+
+    tasks = max(1, sorters // FINE)
+    sent = arrow_map(rows, send_bytes, "bucket int, doc_id long, at long, n long, text binary")
+    dealt = sent.repartitionById(tasks, (F.col("bucket") / F.lit(sorters // tasks)).cast("int"))
+    again = written(arrow_map(dealt, sort, "doc_id long, at long, n long"), "repeated-windows")
     return first.unionByName(again), repeated, bits
 
 
@@ -492,16 +542,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         for b in batches:
             rows = []
             ids, texts = b.column(0), b.column(1).to_pylist()
-            for text, ats, ns in zip(texts, b.column(2), b.column(3), strict=True):
-                raw = np.frombuffer(text, dtype=np.uint8)
-                at, n, key, _ = segments(raw, length, gram)
-                edge = np.zeros(len(raw) + 1, dtype=np.int64)
+            number, at, n, key, _ = segments(texts, length, gram)
+            cuts = np.searchsorted(number, np.arange(len(texts) + 1))
+            doubtful = marked(key)
+            for i, (text, ats, ns) in enumerate(zip(texts, b.column(2), b.column(3), strict=True)):
+                raw, own = np.frombuffer(text, dtype=np.uint8), slice(cuts[i], cuts[i + 1])
                 a, m = (np.asarray(x.values, dtype=np.int64) if x.is_valid else np.zeros(0, np.int64) for x in (ats, ns))
-                gone = marked(key) & ~np.isin(at, a[m == 0]) if len(at) else np.zeros(0, dtype=bool)
-                first = np.concatenate([at[gone], a[m > 0]])
-                last = first + np.concatenate([n[gone], m[m > 0]]) + length - 1
-                np.add.at(edge, first, 1)
-                np.add.at(edge, last, -1)
+                gone = doubtful[own] & ~np.isin(at[own], a[m == 0])
+                first = np.concatenate([at[own][gone], a[m > 0]])
+                last = first + np.concatenate([n[own][gone], m[m > 0]]) + length - 1
+                edge = np.bincount(first, minlength=len(raw) + 1) - np.bincount(last, minlength=len(raw) + 1)
                 cover = np.cumsum(edge[:-1]) > 0
                 stay = raw[~cover].tobytes()
                 spans = int(np.count_nonzero(cover[1:] & ~cover[:-1])) + int(bool(len(cover) and cover[0]))
