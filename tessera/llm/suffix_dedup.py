@@ -118,7 +118,8 @@ def _cut(raw: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np
     ok = counts > 0
     starts, counts, text = starts[ok], counts[ok], text[ok]
     whole = (prefix[starts + counts + length - 1] - prefix[starts]) * up[starts]
-    return text, starts - (ends - sizes)[text], counts, value[anchor[starts]], _mix(whole ^ _mix(counts.astype(np.uint64)))
+    # Anchors have the least hashes around, so these are mixed again to spread evenly over ranges.
+    return text, starts - (ends - sizes)[text], counts, _mix(value[anchor[starts]] + _M1), _mix(whole ^ _mix(counts.astype(np.uint64)))
 
 
 def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
