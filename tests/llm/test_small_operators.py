@@ -264,7 +264,7 @@ def test_sentence_edges(spark):
     df = docs(spark, rows)
     got = sentence_spans.remove_repeats(df)
     assert got.columns == [*df.columns, "n_sentences", "n_removed", "first_doc_ids"]
-    by = {}
+    by: dict = {}
     for r in got.collect():
         by.setdefault(r.doc_id, []).append(r)
     assert by[None][0].n_removed == 0 and by[1][0].n_removed == 3 and by[1][0].text == ""
@@ -273,3 +273,7 @@ def test_sentence_edges(spark):
     assert by[6][0].n_removed == 0 and by[8][0].n_removed == 0 and by[9][0].n_removed == 6
     assert by[1][0].first_doc_ids == [None] or by[1][0].first_doc_ids == []
     assert sentence_spans.remove_repeats(df.filter("false")).count() == 0
+    clash = df.select("*", *[F.lit("c").alias(c) for c in ("sentences", "ats", "left", "firsts", "n_removed")])
+    again = sentence_spans.remove_repeats(clash)
+    assert again.columns == [*clash.columns[:-1], "n_sentences", "n_removed", "first_doc_ids"]
+    assert sorted(map(str, again.select("doc_id", "text", "n_removed").collect())) == sorted(map(str, got.select("doc_id", "text", "n_removed").collect()))
