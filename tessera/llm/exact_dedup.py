@@ -199,7 +199,9 @@ def keep_one(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     kept = exact_dedup(docs, capacity).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
     kept = written(kept, "kept")
     by_id = F.col("doc_id").eqNullSafe(F.col("__id"))
-    several = docs.groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id")
+    several = written(docs.groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id"), "shared-ids")
+    if several.isEmpty():  # as it should be; then the texts travel once
+        return docs.join(kept, by_id, "left_semi")
     plain = docs.join(several, by_id, "left_anti").join(kept, by_id, "left_semi")
     sha = F.sha2(F.translate(text_or_empty(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
     first = F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy("__own"))
