@@ -27,13 +27,10 @@ RUN, LEAST = 3, 24
 SENTENCE = r"[^.!?\n]*[.!?\n][.!?\s]*|[^.!?\n]+\z"
 
 
-def _sentences(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select("doc_id", *more, F.regexp_extract_all(text_or_empty(), F.lit(SENTENCE), F.lit(0)).alias("sentences"))
-
-
 def runs(docs: DataFrame, run: int = RUN, least: int = LEAST) -> DataFrame:
     """doc_id, at (position of the first sentence), h1, h2 of every run."""
-    df = _sentences(docs).select("doc_id", F.transform("sentences", lambda s: F.trim(s, F.lit(" \t\n\r\f\u000b"))).alias("s"))
+    sentences = F.regexp_extract_all(text_or_empty(), F.lit(SENTENCE), F.lit(0))
+    df = docs.select("doc_id", F.transform(sentences, lambda s: F.trim(s, F.lit(" \t\n\r\f\u000b"))).alias("s"))
     parts = ", ".join(f"s[i + {k}]" for k in range(run))
     length = " + ".join(f"length(s[i + {k}])" for k in range(run))
     hashed = F.expr(
@@ -47,25 +44,33 @@ def repeats(docs: DataFrame, run: int = RUN, least: int = LEAST) -> DataFrame:
     """doc_id, ats (positions of its runs that aren't the first of their kind), firsts (ids of the documents that have these first)."""
     found = runs(docs, run, least)
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # Written, as adaptive execution splits a skewed join only where both sides come straight from a shuffle.
+    first = written(first, "first-runs")
     again = found.join(first, ["h1", "h2"]).filter(~F.struct("doc_id", "at").eqNullSafe(F.col("first")))
     return again.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("at").alias("ats"), F.collect_set("first.doc_id").alias("firsts"))
 
 
 def remove_repeats(docs: DataFrame, run: int = RUN, least: int = LEAST) -> DataFrame:
-    """``docs`` without repeated spans: its columns, with n_sentences, n_removed and first_doc_ids behind them."""
+    """``docs`` without repeated spans: its columns, with n_sentences, n_removed and first_doc_ids behind them.
+
+    Columns of ``docs`` that have the names of these three are replaced.
+    """
     found = written(repeats(docs, run, least), "sentence-repeats")
-    keep = [c for c in docs.columns if c not in ("doc_id", "text")]
-    df = _sentences(docs, "text", *keep).join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    keep = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "first_doc_ids")]
+    more = [F.col(f"`{c}`") for c in keep if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *more).alias("__row"))
+    df = packed.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    # Cut behind the shuffle, so that texts travel once and without their sentences.
+    df = df.withColumn("sentences", F.regexp_extract_all(text_or_empty(), F.lit(SENTENCE), F.lit(0)))
     covered = F.flatten(F.transform("ats", lambda i: F.array(*[i + k for k in range(run)])))
     n = F.size("sentences")
     left = F.array_sort(F.array_except(F.when(n > 0, F.sequence(F.lit(0), n - 1)), covered))
     df = df.withColumn("left", F.when(F.col("ats").isNotNull(), left))
     text = F.when(F.col("left").isNull(), F.col("text")).otherwise(F.array_join(F.transform("left", lambda i: F.get("sentences", i)), ""))
     removed = F.when(F.col("left").isNull(), 0).otherwise(n - F.size("left")).cast("bigint")
-    more = [F.col(c) for c in keep]
     return df.select(
-        "doc_id", text.alias("text"), *more, n.cast("bigint").alias("n_sentences"), removed.alias("n_removed"),
-        F.coalesce(F.array_sort("firsts"), F.array().cast("array<bigint>")).alias("first_doc_ids"),
+        *[text.alias("text") if c == "text" else F.col(c) if c == "doc_id" else F.col("__row")[c].alias(c) for c in keep],
+        n.cast("bigint").alias("n_sentences"), removed.alias("n_removed"), F.coalesce(F.array_sort("firsts"), F.array().cast("array<bigint>")).alias("first_doc_ids"),
     )
 
 
