@@ -14,8 +14,11 @@ Documents of equal words are one text, and only its smallest id takes part. In a
 paired with a few leaders, the first and last by id and by turned ids. That is every pair in buckets of up to three.
 Texts of larger buckets also meet in narrow buckets, named by triples of their sketches:
 there similar texts still meet (14 times on average at 0.8) but crowds thin out, and pairs whose ends aren't in
-one component yet are verified too. So candidates grow with the rows, never with the square of a bucket. Groups
-are the connected components of all verified links.
+one component yet are verified too. What both miss, an exact join finds: each text of a larger bucket keeps its
+rarest shingles, as many as two texts at THRESHOLD can't all have apart, and every two texts that share one, fit
+each other in length and place, and aren't in one component yet are verified. Rows of this join are pairs of two
+components only; a shingle of a whole crowd is among the rarest only of texts that have little of their own.
+Groups are the connected components of all verified links.
 
 Null and empty texts, and texts without words, equal each other. Texts of fewer than five words have one
 shingle of all their words. A null id is an id of its own, smaller than all others; rows that repeat an id are
@@ -42,6 +45,8 @@ SKETCHES, TUPLE = 40, 5
 NO_ID = -(2**63)
 #: Narrow buckets: how many triples of sketches name one for a text in a crowd.
 NARROW = 400
+#: Slots of the shingle counts that order shingles by rarity. Collisions change the order, never the pairs.
+RARITY = 1 << 20
 _TRIPLES = np.array([np.random.default_rng(i).choice(SKETCHES, 3, replace=False) for i in range(NARROW)])
 _MULTIPLIERS = np.random.default_rng(6).integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: A bucket's leaders are its first and last text by id, and by the id turned by so many bits.
@@ -198,6 +203,94 @@ def narrow_candidates(crowd: DataFrame, labels: DataFrame) -> DataFrame:
     return written(pairs.filter(apart).select("a", "b"), "narrow-pairs")
 
 
+def _shingled(docs: DataFrame, crowd: DataFrame) -> DataFrame:
+    """id, text (hash of its shingles), shingles and their parity bits s0 to s7, of the texts in ``crowd``."""
+    parities = [f"s{i}" for i in range(8)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_hashes(_words(text)) for text in b.column(1).to_pylist()]
+            names = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in found], dtype=np.uint64).view(np.int64)
+            odd = [np.packbits(np.bincount((x >> np.uint64(20)).astype(np.int64) % 512, minlength=512) & 1).view(np.int64) for x in found]
+            columns = [pa.array(c) for c in np.array(odd, dtype=np.int64).reshape(-1, 8).T]
+            shingles = pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names), shingles, *columns], ["id", "text", "shingles", *parities])
+
+    schema = "id long, text long, shingles array<long>, " + ", ".join(f"{c} long" for c in parities)
+    return written(arrow_map(_ids(docs).join(crowd.select("id"), "id"), run, schema), "shingles")
+
+
+def _rarities(shingled: DataFrame) -> np.ndarray:
+    """How many shingles fall into each of RARITY slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(RARITY, dtype=np.int64)
+        for b in batches:
+            counts += np.bincount(b.column(1).flatten().to_numpy().view(np.uint64) % np.uint64(RARITY), minlength=RARITY)
+        slots = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(counts[slots], pa.int64())], ["slot", "n"])
+
+    rows = arrow_map(shingled, run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(RARITY, dtype=np.int64)
+    counts[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return counts
+
+
+def _rarest(shingled: DataFrame, threshold: float) -> DataFrame:
+    """id, text, label, n (shingles of the text), key (a shingle of its prefix), most (shingles of the longest text it can meet there)."""
+    counts = shingled.sparkSession.sparkContext.broadcast(_rarities(shingled.select("id", "shingles")))
+    share = threshold / (1 + threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, names, labels, sizes, keys, most = [], [], [], [], [], []
+            for i, name, label, found in zip(*(b.column(c).to_pylist() for c in range(3)), b.column(3), strict=True):
+                own = np.asarray(found.values, dtype=np.int64)
+                n = len(own)
+                if not n:
+                    continue
+                order = np.lexsort((own, counts.value[(own.view(np.uint64) % np.uint64(RARITY)).astype(np.int64)]))
+                left = n - np.arange(min(n, int((1 - threshold) * n + 1e-9) + 1))
+                ids.append(np.full(len(left), i, dtype=np.int64))
+                names.append(np.full(len(left), name, dtype=np.int64))
+                labels.append(np.full(len(left), label, dtype=np.int64))
+                sizes.append(np.full(len(left), n, dtype=np.int64))
+                keys.append(own[order[: len(left)]])
+                most.append(np.floor(left / share - n + 1e-6).astype(np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, names, labels, sizes, keys, most)], ["id", "text", "label", "n", "key", "most"])
+
+    return arrow_map(shingled.select("id", "text", "label", "shingles"), run, "id long, text long, label long, n long, key long, most long")
+
+
+def exact_candidates(docs: DataFrame, crowd: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Every pair of texts in ``crowd`` that can reach the threshold and whose ends don't have one label (id, label).
+
+    Two such texts share a shingle among the rarest of both, at places i and j of n and m, with
+    min(n - i, m - j) >= threshold / (1 + threshold) * (n + m). At most one of the two can lie behind the
+    place where texts of equal length still meet, so one side of the join is always ahead of it; and as
+    the label with most rows of a shingle doesn't meet itself, one side always has another label. Parity bits of
+    two texts differ in no more places than the texts have shingles apart, so too many drop a pair safely.
+    """
+    texts = _shingled(docs, crowd)
+    shingled = texts.join(labels, "id", "left").select("id", "text", F.coalesce("label", "id").alias("label"), "shingles")
+    rows = written(_rarest(shingled, threshold).withColumn("ahead", F.col("most") >= F.col("n")), "rarest")
+    counted = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"), F.max("ahead").alias("ahead"))
+    mixed = counted.groupBy("key").agg(F.max(F.struct("rows", "label")).alias("top"), F.count(F.lit(1)).alias("labels"), F.max("ahead").alias("any"))
+    mixed = written(mixed.filter("labels > 1 AND any").select("key", F.col("top.label").alias("major")), "mixed-shingles")
+    rows = rows.join(mixed, "key").withColumn("minor", F.col("label") != F.col("major")).drop("major")
+    rows = written(rows.join(texts.drop("shingles").distinct(), ["id", "text"]), "mixed-rows")
+    other = rows.select("key", *[F.col(c).alias(f"{c}2") for c in rows.columns if c != "key"])
+    apart = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}2"))) for i in range(8)), F.lit(0))
+    alike = (F.col("n") + F.col("n2")) * (1 - 2 * threshold / (1 + threshold)) + 1e-6 >= apart
+    fits = alike & (F.col("label") != F.col("label2")) & (F.col("n2") <= F.col("most")) & (F.col("n") <= F.col("most2"))
+    ends = F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")
+    found = []
+    for left, right in ((rows.filter("minor AND ahead"), other), (rows.filter("minor AND NOT ahead"), other.filter("NOT minor2 AND ahead2"))):
+        found.append(left.join(right, "key").filter(fits).select(*ends))
+    return written(found[0].unionByName(found[1]).distinct(), "exact-pairs")
+
+
 def links(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs whose alignment reaches the threshold."""
     texts = _ids(docs)
@@ -250,9 +343,14 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # Rows that share an id are one document; a repeated row meets itself and links nothing.
     texts = written(texts, "distinct-texts")
     pairs, crowd = candidates(texts)
+    crowd = written(crowd, "crowd")
     wide = written(links(docs, pairs, threshold), "links")
     narrow = written(links(docs, narrow_candidates(crowd, components(wide, rounds=1)), threshold), "links")
-    named = components(wide.unionByName(narrow))
+    found = wide.unionByName(narrow)
+    named = components(found)
+    exact = written(links(docs, exact_candidates(docs, crowd, named, threshold), threshold), "links")
+    if not exact.isEmpty():
+        named = components(found.unionByName(exact))
     named = same.join(named, F.col("id") == F.col("text_id"), "left").select("w1", "w2", F.coalesce("label", "text_id").alias("class_id"))
     members = written(rows.select("id", "w1", "w2").join(written(named, "classes"), ["w1", "w2"]).select("id", "class_id"), "members")
     sizes = written(members.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "sizes")

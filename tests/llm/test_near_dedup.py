@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import near_dedup as nd
 
@@ -127,3 +128,33 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (-5, 200)], "a long, b long")
     got = {r.id: r.label for r in nd.components(edges).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[102] == got[101] == 100 and got[200] == -5
+
+
+def test_template_crowd_loses_no_pair(spark, monkeypatch):
+    """Pairs of a crowd that meet in no narrow bucket, as happens in crowds of many thousands."""
+    monkeypatch.setattr(nd, "narrow_candidates", lambda crowd, labels: labels.select(F.col("id").alias("a"), F.col("id").alias("b")).filter("false"))
+    rng = random.Random(11)
+    fresh = iter(range(10**7))
+    template = [f"t{i}" for i in range(200)]
+
+    def edited(places):
+        words = list(template)
+        for p in places:
+            words[p] = f"u{next(fresh)}"
+        return words
+
+    spots = lambda: [rng.randrange(i * 50 + 5, i * 50 + 45) for i in range(4)]
+    rows, pairs = [edited(spots()) for _ in range(200)], []
+    for _ in range(20):  # 176 of 216 shingles are common, 0.81, and the crowd has each of them
+        places = spots()
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [edited(places), edited(places)]
+    names = list(range(len(rows)))
+    rng.shuffle(names)
+    named = [(names[i], " ".join(w)) for i, w in enumerate(rows)]
+    df = spark.createDataFrame([(d, t, "x", "y") for d, t in named], SCHEMA).repartition(4)
+    got = {r.doc_id: r.class_id for r in nd.near_dedup(df).collect()}
+    assert [got[names[a]] for a, _ in pairs] == [got[names[b]] for _, b in pairs]
+    seqs = [(d, nd.shingle_hashes(nd._words(t))) for d, t in named]
+    near = [(d, e) for i, (d, a) in enumerate(seqs) for e, b in seqs[:i] if nd.similarity(a, b) >= 0.8 - 1e-12]
+    assert len(near) >= len(pairs) and all(got[d] == got[e] for d, e in near)
