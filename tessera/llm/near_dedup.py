@@ -7,14 +7,16 @@ order; the hash of that sequence is the sketch. Documents that share a sketch me
 Two documents are near-duplicates if their shingle sequences align to a similarity of THRESHOLD or more:
 aligned shingles / (all shingles of both - aligned shingles), with order kept. The alignment is exact inside
 the band of diagonals that this similarity allows; as labelled shingles are unique, it is the longest
-increasing run of matched positions. A pair at similarity 0.8 shares a sketch with a probability of at
-least 1 - (1 - 0.8**5)**40, which is more than 1 - 1e-6.
+increasing run of matched positions. A pair at similarity 0.8 shares a sketch with a probability near
+1 - (1 - 0.8**5)**40, and more than 1 - 1e-6 where one of both has more than SHORT shingles. Of smaller
+texts samples say less (under TUPLE shingles they even differ in length), so texts of up to SHORT shingles don't
+rely on sketches: all of them meet in the exact join below.
 
 Documents of equal words are one text, and only its smallest id takes part. In a bucket every text is
 paired with a few leaders, the first and last by id and by turned ids. That is every pair in buckets of up to three.
 Texts of larger buckets also meet in narrow buckets, named by triples of their sketches:
 there similar texts still meet (14 times on average at 0.8) but crowds thin out, and pairs whose ends aren't in
-one component yet are verified too. What both miss, an exact join finds: each text of a larger bucket keeps its
+one component yet are verified too. What both miss, an exact join finds: each short text and each text of a larger bucket keeps its
 rarest shingles, as many as two texts at THRESHOLD can't all have apart, and every two texts that share one, fit
 each other in length and place, and aren't in one component yet are verified. Rows of this join are pairs of two
 components only; a shingle of a whole crowd is among the rarest only of texts that have little of their own.
@@ -45,6 +47,8 @@ SKETCHES, TUPLE = 40, 5
 NO_ID = -(2**63)
 #: Narrow buckets: how many triples of sketches name one for a text in a crowd.
 NARROW = 400
+#: Texts of so many shingles at most always take part in the exact join.
+SHORT = 30
 #: Slots of the shingle counts that order shingles by rarity. Collisions change the order, never the pairs.
 RARITY = 1 << 20
 _TRIPLES = np.array([np.random.default_rng(i).choice(SKETCHES, 3, replace=False) for i in range(NARROW)])
@@ -130,22 +134,23 @@ def _ids(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """id, w1 and w2 (hash of the words), and sketches of every row."""
+    """id, w1 and w2 (hash of the words), sketches, and short (up to SHORT shingles) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, found = [], []
+            names, found, short = [], [], []
             for text in b.column(1).to_pylist():
                 words = _words(text)
                 digest = hashlib.sha256(" ".join(words).encode()).digest()
                 names.append(np.frombuffer(digest[:16], dtype="<i8"))
                 found.append(sketch(shingle_hashes(words)) if words else None)
+                short.append(len(words) < SHORT + SHINGLE)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *[pa.array([int(x[i]) for x in names], pa.int64()) for i in range(2)], pa.array(found, pa.list_(pa.int64()))],
-                ["id", "w1", "w2", "sketches"],
+                [b.column(0), *[pa.array([int(x[i]) for x in names], pa.int64()) for i in range(2)], pa.array(found, pa.list_(pa.int64())), pa.array(short)],
+                ["id", "w1", "w2", "sketches", "short"],
             )
 
-    return arrow_map(_ids(docs), run, "id long, w1 long, w2 long, sketches array<long>")
+    return arrow_map(_ids(docs), run, "id long, w1 long, w2 long, sketches array<long>, short boolean")
 
 
 def _turned(c: Column, by: int) -> Column:
@@ -339,7 +344,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row a row of ``docs``: doc_id, class_id (least id of its group), class_size, kept (the id names the group)."""
     rows = written(sketches(docs), "sketches")
     same = written(rows.groupBy("w1", "w2").agg(F.min("id").alias("text_id")), "texts")
-    texts = same.join(rows.filter("sketches IS NOT NULL"), ["w1", "w2"]).filter("id = text_id").select("id", "sketches")
+    texts = same.join(rows.filter("sketches IS NOT NULL"), ["w1", "w2"]).filter("id = text_id").select("id", "sketches", "short")
     # Rows that share an id are one document; a repeated row meets itself and links nothing.
     texts = written(texts, "distinct-texts")
     pairs, crowd = candidates(texts)
@@ -348,7 +353,8 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     narrow = written(links(docs, narrow_candidates(crowd, components(wide, rounds=1)), threshold), "links")
     found = wide.unionByName(narrow)
     named = components(found)
-    exact = written(links(docs, exact_candidates(docs, crowd, named, threshold), threshold), "links")
+    doubtful = crowd.select("id").unionByName(texts.filter("short").select("id")).distinct()
+    exact = written(links(docs, exact_candidates(docs, doubtful, named, threshold), threshold), "links")
     if not exact.isEmpty():
         named = components(found.unionByName(exact))
     named = same.join(named, F.col("id") == F.col("text_id"), "left").select("w1", "w2", F.coalesce("label", "text_id").alias("class_id"))

@@ -158,3 +158,21 @@ def test_template_crowd_loses_no_pair(spark, monkeypatch):
     seqs = [(d, nd.shingle_hashes(nd._words(t))) for d, t in named]
     near = [(d, e) for i, (d, a) in enumerate(seqs) for e, b in seqs[:i] if nd.similarity(a, b) >= 0.8 - 1e-12]
     assert len(near) >= len(pairs) and all(got[d] == got[e] for d, e in near)
+
+
+def test_short_texts_link_without_a_shared_sketch(spark):
+    rng = random.Random(12)
+    rows = []
+    for base in range(40):
+        words = [f"b{base}w{i}" for i in range(8 + base % 3)]
+        rows += [" ".join(words), " ".join([*words, "end"] if base % 2 else ["start", *words])]
+    for base in range(40):  # 8 of 10 shingles
+        words = [f"c{base}w{i}" for i in range(12)]
+        rows += [" ".join(["one", *words]), " ".join([*words, "two"])]
+    rows += ["lone text of six short words", "another lone text of seven short words"]
+    names = list(range(len(rows)))
+    rng.shuffle(names)
+    named = [(names[i], t) for i, t in enumerate(rows)]
+    got = {r.doc_id: r.class_id for r in nd.near_dedup(spark.createDataFrame([(d, t, "x", "y") for d, t in named], SCHEMA)).collect()}
+    assert got == brute(named)
+    assert sum(got[names[i]] == got[names[i + 1]] for i in range(0, 160, 2)) == 80
