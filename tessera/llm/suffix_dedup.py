@@ -22,8 +22,9 @@ by content first, and suffixes are sorted where windows can differ:
    owner of its own hash. Both ways are exact.
 5. The marks of each document are joined with its text.
 
-Null text counts as empty. A null doc_id comes before all others. Rows that repeat an id are one place:
-neither loses a string to the other's equal offset. Texts of any length are taken whole, in chunks.
+Null text counts as empty. A null doc_id comes before all others. Rows that repeat an id
+and its text are one place: neither loses a string to the other's equal offset. Rows of one id, or of
+none, with different texts are documents of their own, ordered by id and then by a hash of the text. Texts of any length are taken whole, in chunks.
 Other columns are ignored.
 """
 
@@ -530,12 +531,26 @@ def _segment_rows(held: dict, later: list, sorters: int) -> Iterator[pa.RecordBa
         )
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    """row, doc_id and text: ``row`` is the id where each id has one text, otherwise a number in the order of id and hash of the text."""
+    text = text_or_empty().cast("binary").alias("text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("row"), F.col("doc_id").cast("bigint"), text)
+    named = rows.select("row", F.sha2("text", 256).alias("hash"))
+    ends = named.groupBy("row").agg(F.min("hash").alias("low"), F.max("hash").alias("high"))
+    if ends.filter("low <> high").isEmpty():
+        return rows
+    numbers = written(named.distinct().orderBy("row", "hash").withColumn("number", F.monotonically_increasing_id()), "row-numbers")
+    found = rows.withColumn("hash", F.sha2("text", 256)).join(numbers, ["row", "hash"])
+    return written(found.select(F.col("number").alias("row"), "doc_id", "text"), "numbered-texts")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, ``kept`` (the bytes that stay)."""
-    found, repeated, bits = marks(docs, length, gram, hot)
+    rows = _identified(docs)
+    found, repeated, bits = marks(rows.select(F.col("row").alias("doc_id"), F.col("text").cast("string")), length, gram, hot)
     shared = docs.sparkSession.sparkContext.broadcast(repeated)
     listed = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("at", "n")).alias("marks"))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.col("doc_id").cast("bigint"), text_or_empty().cast("binary").alias("text"))
+    texts = rows.withColumnRenamed("row", "id")
     joined = texts.join(listed, "id", "left").select("doc_id", "text", F.col("marks.at").alias("ats"), F.col("marks.n").alias("ns"))
 
     def run(batches):

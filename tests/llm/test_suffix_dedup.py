@@ -112,3 +112,16 @@ def test_types():
     text = np.frombuffer(b"mississippi", dtype=np.uint8)
     want = [text[i:].tobytes() < text[i + 1 :].tobytes() for i in range(len(text))]
     assert sd.smaller_than_successor(text).tolist() == want
+
+
+def test_different_texts_of_one_id_have_own_marks(spark):
+    rng = random.Random(31)
+    piece = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    shared, other = piece(200), piece(200)
+    rows = [(1, shared), (5, "x" + piece(300) + shared), (5, piece(50)), (5, piece(400)), (None, piece(40)), (None, other), (None, "y" + piece(150) + other), (9, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {}
+    for r in sd.remove_repeats(df).collect():
+        got.setdefault((r.doc_id, r.n_bytes), []).append(r.n_removed)
+    assert got[1, 200] == [0] and got[5, 501] == [200] and got[5, 50] == [0] and got[5, 400] == [0]
+    assert got[None, 40] == [0] and got[9, 200] == [200] and got[None, 200] + got[None, 351] in ([200, 0], [0, 200])
