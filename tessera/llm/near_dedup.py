@@ -1,30 +1,35 @@
 """Near-duplicate groups by Order MinHash and banded alignment.
 
-A document is its sequence of five-word shingles, each labelled with its occurrence number. For each of
-SKETCHES hash functions, the TUPLE labelled shingles of least hash are sampled and kept in text
-order; the hash of that sequence is the sketch. Documents that share a sketch meet in a bucket.
+A document is its sequence of five-word shingles. For each of SKETCHES hash functions, the TUPLE shingles of
+least hash, labelled with their occurrence number, are sampled and kept in text order; the hash of that
+sequence is the sketch. Documents that share a sketch meet in a bucket.
 
 Two documents are near-duplicates if their shingle sequences align to a similarity of THRESHOLD or more:
-aligned shingles / (all shingles of both - aligned shingles), with order kept. The alignment is exact inside
-the band of diagonals that this similarity allows; as labelled shingles are unique, it is the longest
-increasing run of matched positions. A pair at similarity 0.8 shares a sketch with a probability near
-1 - (1 - 0.8**5)**40, and more than 1 - 1e-6 where one of both has more than SHORT shingles. Of smaller
-texts samples say less (under TUPLE shingles they even differ in length), so texts of up to SHORT shingles don't
-rely on sketches: all of them meet in the exact join below.
-
-Documents of equal words are one text, and only its smallest id takes part. In a bucket every text is
-paired with a few leaders, the first and last by id and by turned ids. That is every pair in buckets of up to three.
-Texts of larger buckets also meet in narrow buckets, named by triples of their sketches:
-there similar texts still meet (14 times on average at 0.8) but crowds thin out, and pairs whose ends aren't in
-one component yet are verified too. What both miss, an exact join finds: each short text and each text of a larger bucket keeps its
-rarest shingles, as many as two texts at THRESHOLD can't all have apart, and every two texts that share one, fit
-each other in length and place, and aren't in one component yet are verified. Rows of this join are pairs of two
-components only; a shingle of a whole crowd is among the rarest only of texts that have little of their own.
+aligned shingles / (all shingles of both - aligned shingles), with order kept. The alignment is the longest
+common subsequence of the shingles as they are, without labels, inside the band of diagonals that this similarity
+allows, where it is exact: an increasing run of places if no shingle repeats, a bit-parallel table otherwise.
+Moved blocks lower the similarity, as the method is sensitive to order.
+
+Documents of equal words are one text, and only its first row takes part. Candidates come in three rounds, and each round
+leaves out pairs that the rounds before have put into one component:
+
+1. every text with the first text of each of its buckets;
+2. every text with the last text of each of its buckets. So all pairs of buckets of up to three are verified;
+3. texts of larger buckets, and all texts of up to SHORT shingles, by an exact prefix join: each keeps its
+   rarest shingles, as many as two texts at THRESHOLD can't all have apart, and every two texts that share one and
+   fit each other in length are verified. So nothing is lost where a bucket was too large to pair all of it,
+   nor to the sketches of short texts, which say less.
+
+What is left to chance is that two texts of more than SHORT shingles at the threshold share no sketch: near
+(1 - 0.8**5)**40, 1e-7, for texts without repeated shingles. The prefix join makes rows of two different components only;
+a shingle of a whole crowd is among the rarest only of texts that have little of their own, so a crowd just
+under the threshold, without links, costs a verification for each of its pairs.
 Groups are the connected components of all verified links.
 
 Null and empty texts, and texts without words, equal each other. Texts of fewer than five words have one
-shingle of all their words. A null id is an id of its own, smaller than all others; rows that repeat an id are
-one document with the texts of all of them. Texts of any length are taken whole. Other columns are ignored.
+shingle of all their words. A null id is smaller than all others. Rows that repeat id and text are one document; rows of one id, or
+of none, with different texts are documents of their own. Texts of any length are taken whole; where shingles repeat, time for a
+verification grows with the product of both lengths. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,29 +42,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, arrow_map, text_or_empty, written
+from tessera.llm.common import NO_ID, WORD, arrow_map, identified, keep_rows, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 SKETCHES, TUPLE = 40, 5
-NO_ID = -(2**63)
-#: Narrow buckets: how many triples of sketches name one for a text in a crowd.
-NARROW = 400
 #: Texts of so many shingles at most always take part in the exact join.
 SHORT = 30
 #: Slots of the shingle counts that order shingles by rarity. Collisions change the order, never the pairs.
 RARITY = 1 << 20
-_TRIPLES = np.array([np.random.default_rng(i).choice(SKETCHES, 3, replace=False) for i in range(NARROW)])
 _MULTIPLIERS = np.random.default_rng(6).integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: A bucket's leaders are its first and last text by id, and by the id turned by so many bits.
-WIDE_TURNS, NARROW_TURNS = (14,), (14,)
+_PARITIES = [f"s{i}" for i in range(8)]
 _words = re.compile(WORD).findall
 
 
 def shingle_hashes(words: list[str], k: int = SHINGLE) -> np.ndarray:
-    """64-bit hashes of the k-word shingles, labelled with their occurrence number."""
+    """64-bit hashes of the k-word shingles in text order."""
     if not words:
         return np.zeros(0, dtype=np.uint64)
     one = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
@@ -68,18 +68,25 @@ def shingle_hashes(words: list[str], k: int = SHINGLE) -> np.ndarray:
     for i in range(min(k, len(words))):
         h = (h ^ one[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
-    order = np.argsort(h, kind="stable")
-    same = np.concatenate([[False], h[order][1:] == h[order][:-1]])
-    if same.any():
-        place = np.arange(n)
-        label = np.empty(n, dtype=np.uint64)
-        label[order] = (place - np.maximum.accumulate(np.where(same, 0, place))).astype(np.uint64)
-        h = np.where(label > 0, (h + label) * np.uint64(0xBF58476D1CE4E5B9), h)
     return h
 
 
+def labelled(h: np.ndarray) -> np.ndarray:
+    """Shingles made distinct: the n-th occurrence of a shingle is hashed with n, the first stays as it is."""
+    n = len(h)
+    order = np.argsort(h, kind="stable")
+    same = np.zeros(n, dtype=bool)
+    same[1:] = h[order][1:] == h[order][:-1]
+    if not same.any():
+        return h
+    place = np.arange(n)
+    label = np.empty(n, dtype=np.uint64)
+    label[order] = (place - np.maximum.accumulate(np.where(same, 0, place))).astype(np.uint64)
+    return np.where(label > 0, (h + label) * np.uint64(0xBF58476D1CE4E5B9), h)
+
+
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Signed 64-bit sketches of a document, one a hash function."""
+    """Signed 64-bit sketches of a document's labelled shingles, one a hash function."""
     out = np.empty(SKETCHES, dtype=np.uint64)
     m = min(TUPLE, len(shingles))
     block = max(1, (1 << 20) // len(shingles))
@@ -98,28 +105,49 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _subsequence(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Longest common subsequence with places at most ``band`` apart, by a table whose rows are the bits of one number."""
+    where: dict[int, int] = {}
+    for j, x in enumerate(b.tolist()):
+        where[x] = where.get(x, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    window, row = (1 << 2 * band + 1) - 1, every
+    for i, x in enumerate(a.tolist()):
+        if x in where:
+            inside = window << i - band if i >= band else window >> band - i
+            hit = row & where[x] & inside
+            row = (row + hit | row & ~hit) & every
+    return len(b) - row.bit_count()
+
+
 def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> int:
-    """Shingles that align in order within the band that ``threshold`` allows."""
+    """Shingles that align in order within the band that ``threshold`` allows; 0 where it is plain that too few can."""
     least = threshold / (1 + threshold) * (len(a) + len(b))
     if min(len(a), len(b)) < least - 1e-9:
         return 0
-    order = np.argsort(b)
-    at = np.searchsorted(b, a, sorter=order)
-    at[at == len(b)] = 0
+    x, y = labelled(a), labelled(b)
+    order = np.argsort(y)
+    at = np.searchsorted(y, x, sorter=order)
+    at[at == len(y)] = 0
     match = order[at]
-    hit = np.flatnonzero(b[match] == a)
+    hit = np.flatnonzero(y[match] == x)
+    if len(hit) < least - 1e-9:  # no more can align than are common
+        return 0
+    band = int(max(len(a), len(b)) - least + 1e-9)
+    if x is not a or y is not b:
+        return _subsequence(a, b, band)
     match = match[hit]
-    band = max(len(a), len(b)) - least
-    inside = np.abs(match - hit) <= band + 1e-9
-    match = match[inside]
-    if len(match) < least - 1e-9 or not (np.diff(match) < 0).any():
+    match = match[np.abs(match - hit) <= band]
+    if len(match) < least - 1e-9:
+        return 0
+    if not (np.diff(match) < 0).any():
         return len(match)
     tails: list[int] = []
-    for x in match.tolist():
-        if not tails or x > tails[-1]:
-            tails.append(x)
+    for p in match.tolist():
+        if not tails or p > tails[-1]:
+            tails.append(p)
         else:
-            tails[bisect_left(tails, x)] = x
+            tails[bisect_left(tails, p)] = p
     return len(tails)
 
 
@@ -129,100 +157,53 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     return n / (len(a) + len(b) - n) if len(a) + len(b) else 1.0
 
 
-def _ids(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), text_or_empty().alias("text"))
-
-
-def sketches(docs: DataFrame) -> DataFrame:
-    """id, w1 and w2 (hash of the words), sketches, and short (up to SHORT shingles) of every row."""
+def sketches(rows: DataFrame) -> DataFrame:
+    """row, id, sha, w1 and w2 (hash of the words), sketches, and short (up to SHORT shingles) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, found, short = [], [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(3).to_pylist():
                 words = _words(text)
-                digest = hashlib.sha256(" ".join(words).encode()).digest()
-                names.append(np.frombuffer(digest[:16], dtype="<i8"))
-                found.append(sketch(shingle_hashes(words)) if words else None)
+                names.append(np.frombuffer(hashlib.sha256(" ".join(words).encode()).digest()[:16], dtype="<i8"))
+                found.append(sketch(labelled(shingle_hashes(words))) if words else None)
                 short.append(len(words) < SHORT + SHINGLE)
+            own = [pa.array([int(x[i]) for x in names], pa.int64()) for i in range(2)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *[pa.array([int(x[i]) for x in names], pa.int64()) for i in range(2)], pa.array(found, pa.list_(pa.int64())), pa.array(short)],
-                ["id", "w1", "w2", "sketches", "short"],
+                [*b.columns[:3], *own, pa.array(found, pa.list_(pa.int64())), pa.array(short)], ["row", "id", "sha", "w1", "w2", "sketches", "short"]
             )
 
-    return arrow_map(_ids(docs), run, "id long, w1 long, w2 long, sketches array<long>, short boolean")
-
+    return arrow_map(rows.select("row", "id", "sha", "text"), run, "row long, id long, sha string, w1 long, w2 long, sketches array<long>, short boolean")
 
-def _turned(c: Column, by: int) -> Column:
-    """The id with its lowest bits in front: another order, undone by turning by the rest."""
-    return F.shiftleft(c, 64 - by).bitwiseOR(F.shiftrightunsigned(c, by))
 
-
-def _leaders(rows: DataFrame, turns: tuple[int, ...]) -> DataFrame:
-    """key, n and leaders of each bucket of two or more: first and last by id and by each turned id; rows are (id, key)."""
-    ids = {0: F.col("id")} | {by: _turned(F.col("id"), by) for by in turns}
-    ends = [f(c).alias(f"{f.__name__}{by}") for by, c in ids.items() for f in (F.min, F.max)]
-    found = rows.groupBy("key").agg(*ends, F.count(F.lit(1)).alias("n")).filter("min0 < max0")
-    back = [F.col(f"{f}{by}") if not by else _turned(F.col(f"{f}{by}"), 64 - by) for by in ids for f in ("min", "max")]
+def meetings(texts: DataFrame) -> DataFrame:
+    """id, low and high (first and last text of a bucket it is in), crowded (more than three are in it), for each bucket of two or more."""
+    rows = texts.select("id", F.explode("sketches").alias("key"))
+    ends = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"))
     # Written, as adaptive execution splits a skewed join only where both sides come straight from a shuffle.
-    return written(found.select("key", "n", F.array_distinct(F.array(*back)).alias("leaders")), "leaders")
+    ends = written(ends.filter("low < high"), "bucket-ends")
+    return written(rows.join(ends, "key").select("id", "low", "high", (F.col("n") > 3).alias("crowded")).distinct(), "meetings")
 
 
-def _pairs(rows: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of a text and a leader of one of its buckets."""
-    found = rows.join(leaders, "key").select("id", F.explode("leaders").alias("leader")).filter("id <> leader")
-    return found.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-
-
-def _narrow(texts: DataFrame) -> DataFrame:
-    """id and key of the narrow buckets: NARROW fixed triples of sketches."""
+def shingles_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, shingles, and their parity bits s0 to s7, of the rows named in ``ids``; whole texts are shuffled here and nowhere else."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = np.asarray(b.column(1).values, dtype=np.int64).reshape(-1, SKETCHES).view(np.uint64)
-            h = np.tile(np.arange(NARROW, dtype=np.uint64) + np.uint64(1000), (len(own), 1))
-            for i in range(3):
-                h = (h ^ own[:, _TRIPLES[:, i]]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(32)
-            ids = np.repeat(b.column(0).to_numpy(), NARROW)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h.ravel().view(np.int64))], ["id", "key"])
-
-    return arrow_map(texts.select("id", "sketches"), run, "id long, key long")
-
+            found = [shingle_hashes(_words(text)) for text in b.column(1).to_pylist()]
+            odd = [np.packbits(np.bincount((labelled(x) >> np.uint64(20)).astype(np.int64) % 512, minlength=512) & 1).view(np.int64) for x in found]
+            columns = [pa.array(c) for c in np.array(odd, dtype=np.int64).reshape(-1, 8).T]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), *columns], ["id", "shingles", *_PARITIES])
 
-def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs to verify from the sketches' buckets, and texts that share a bucket with three or more others."""
-    rows = texts.select("id", F.explode("sketches").alias("key"))
-    leaders = _leaders(rows, WIDE_TURNS)
-    crowd = rows.join(leaders.filter("n > 3").select("key"), "key").select("id").distinct()
-    return written(_pairs(rows, leaders), "pairs"), texts.join(crowd, "id")
+    texts = rows.select(F.col("row").alias("id"), "text").join(ids, "id")
+    return written(arrow_map(texts, run, "id long, shingles array<long>, " + ", ".join(f"{c} long" for c in _PARITIES)), "shingles")
 
 
-def narrow_candidates(crowd: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs from the narrow buckets whose ends don't yet have one label (id, label)."""
-    rows = _narrow(crowd)
-    pairs = _pairs(rows, _leaders(rows, NARROW_TURNS))
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends don't have one label (id, label)."""
     for end in ("a", "b"):
         pairs = pairs.join(labels.select(F.col("id").alias(end), F.col("label").alias(f"l{end}")), end, "left")
-    apart = F.coalesce("la", "a") != F.coalesce("lb", "b")
-    return written(pairs.filter(apart).select("a", "b"), "narrow-pairs")
-
-
-def _shingled(docs: DataFrame, crowd: DataFrame) -> DataFrame:
-    """id, text (hash of its shingles), shingles and their parity bits s0 to s7, of the texts in ``crowd``."""
-    parities = [f"s{i}" for i in range(8)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingle_hashes(_words(text)) for text in b.column(1).to_pylist()]
-            names = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in found], dtype=np.uint64).view(np.int64)
-            odd = [np.packbits(np.bincount((x >> np.uint64(20)).astype(np.int64) % 512, minlength=512) & 1).view(np.int64) for x in found]
-            columns = [pa.array(c) for c in np.array(odd, dtype=np.int64).reshape(-1, 8).T]
-            shingles = pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names), shingles, *columns], ["id", "text", "shingles", *parities])
-
-    schema = "id long, text long, shingles array<long>, " + ", ".join(f"{c} long" for c in parities)
-    return written(arrow_map(_ids(docs).join(crowd.select("id"), "id"), run, schema), "shingles")
+    return pairs.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
 def _rarities(shingled: DataFrame) -> np.ndarray:
@@ -231,7 +212,7 @@ def _rarities(shingled: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(RARITY, dtype=np.int64)
         for b in batches:
-            counts += np.bincount(b.column(1).flatten().to_numpy().view(np.uint64) % np.uint64(RARITY), minlength=RARITY)
+            counts += np.bincount((b.column(1).flatten().to_numpy().view(np.uint64) % np.uint64(RARITY)).astype(np.int64), minlength=RARITY)
         slots = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(counts[slots], pa.int64())], ["slot", "n"])
 
@@ -242,52 +223,50 @@ def _rarities(shingled: DataFrame) -> np.ndarray:
 
 
 def _rarest(shingled: DataFrame, threshold: float) -> DataFrame:
-    """id, text, label, n (shingles of the text), key (a shingle of its prefix), most (shingles of the longest text it can meet there)."""
+    """id, label, n (shingles of the text), key (a shingle of its prefix), most (shingles of the longest text it can meet there)."""
     counts = shingled.sparkSession.sparkContext.broadcast(_rarities(shingled.select("id", "shingles")))
     share = threshold / (1 + threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, names, labels, sizes, keys, most = [], [], [], [], [], []
-            for i, name, label, found in zip(*(b.column(c).to_pylist() for c in range(3)), b.column(3), strict=True):
-                own = np.asarray(found.values, dtype=np.int64)
+            ids, labels, sizes, keys, most = [], [], [], [], []
+            for i, label, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                own = labelled(np.asarray(found.values, dtype=np.int64).view(np.uint64)).view(np.int64)
                 n = len(own)
                 if not n:
                     continue
                 order = np.lexsort((own, counts.value[(own.view(np.uint64) % np.uint64(RARITY)).astype(np.int64)]))
                 left = n - np.arange(min(n, int((1 - threshold) * n + 1e-9) + 1))
                 ids.append(np.full(len(left), i, dtype=np.int64))
-                names.append(np.full(len(left), name, dtype=np.int64))
                 labels.append(np.full(len(left), label, dtype=np.int64))
                 sizes.append(np.full(len(left), n, dtype=np.int64))
                 keys.append(own[order[: len(left)]])
                 most.append(np.floor(left / share - n + 1e-6).astype(np.int64))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, names, labels, sizes, keys, most)], ["id", "text", "label", "n", "key", "most"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, labels, sizes, keys, most)], ["id", "label", "n", "key", "most"])
 
-    return arrow_map(shingled.select("id", "text", "label", "shingles"), run, "id long, text long, label long, n long, key long, most long")
+    return arrow_map(shingled.select("id", "label", "shingles"), run, "id long, label long, n long, key long, most long")
 
 
-def exact_candidates(docs: DataFrame, crowd: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Every pair of texts in ``crowd`` that can reach the threshold and whose ends don't have one label (id, label).
+def exact_candidates(texts: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Every pair of ``texts`` that can reach the threshold and whose ends don't have one label (id, label).
 
-    Two such texts share a shingle among the rarest of both, at places i and j of n and m, with
+    Two such texts share a labelled shingle among the rarest of both, at places i and j of n and m, with
     min(n - i, m - j) >= threshold / (1 + threshold) * (n + m). At most one of the two can lie behind the
     place where texts of equal length still meet, so one side of the join is always ahead of it; and as
     the label with most rows of a shingle doesn't meet itself, one side always has another label. Parity bits of
     two texts differ in no more places than the texts have shingles apart, so too many drop a pair safely.
     """
-    texts = _shingled(docs, crowd)
-    shingled = texts.join(labels, "id", "left").select("id", "text", F.coalesce("label", "id").alias("label"), "shingles")
-    rows = written(_rarest(shingled, threshold).withColumn("ahead", F.col("most") >= F.col("n")), "rarest")
+    named = texts.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "shingles")
+    rows = written(_rarest(named, threshold).withColumn("ahead", F.col("most") >= F.col("n")), "rarest")
     counted = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"), F.max("ahead").alias("ahead"))
     mixed = counted.groupBy("key").agg(F.max(F.struct("rows", "label")).alias("top"), F.count(F.lit(1)).alias("labels"), F.max("ahead").alias("any"))
     mixed = written(mixed.filter("labels > 1 AND any").select("key", F.col("top.label").alias("major")), "mixed-shingles")
     rows = rows.join(mixed, "key").withColumn("minor", F.col("label") != F.col("major")).drop("major")
-    rows = written(rows.join(texts.drop("shingles").distinct(), ["id", "text"]), "mixed-rows")
+    rows = written(rows.join(texts.drop("shingles"), "id"), "mixed-rows")
     other = rows.select("key", *[F.col(c).alias(f"{c}2") for c in rows.columns if c != "key"])
-    apart = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}2"))) for i in range(8)), F.lit(0))
-    alike = (F.col("n") + F.col("n2")) * (1 - 2 * threshold / (1 + threshold)) + 1e-6 >= apart
+    differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}2"))) for i in range(8)), F.lit(0))
+    alike = (F.col("n") + F.col("n2")) * (1 - 2 * threshold / (1 + threshold)) + 1e-6 >= differ
     fits = alike & (F.col("label") != F.col("label2")) & (F.col("n2") <= F.col("most")) & (F.col("n") <= F.col("most2"))
     ends = F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")
     found = []
@@ -296,20 +275,18 @@ def exact_candidates(docs: DataFrame, crowd: DataFrame, labels: DataFrame, thres
     return written(found[0].unionByName(found[1]).distinct(), "exact-pairs")
 
 
-def links(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def links(shingled: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs whose alignment reaches the threshold."""
-    texts = _ids(docs)
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    sides = [shingled.select(F.col("id").alias(end), F.col("shingles").alias(f"s_{end}")) for end in ("a", "b")]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "s_a", "s_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            good = [similarity(shingle_hashes(_words(x)), shingle_hashes(_words(y)), threshold) >= threshold - 1e-12 for x, y in zip(ta, tb, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, g in zip(c, good, strict=True) if g], pa.int64()) for c in (a, b)], ["a", "b"]
-            )
+            x, y = ([np.asarray(v.values, dtype=np.int64).view(np.uint64) for v in batch.column(i)] for i in (2, 3))
+            good = pa.array([similarity(u, v, threshold) >= threshold - 1e-12 for u, v in zip(x, y, strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(good)
 
-    return arrow_map(both.select("a", "b", "ta", "tb"), run, "a long, b long").distinct()
+    return written(arrow_map(both, run, "a long, b long").distinct(), "links")
 
 
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -340,32 +317,40 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
             return labels
 
 
-def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row a row of ``docs``: doc_id, class_id (least id of its group), class_size, kept (the id names the group)."""
-    rows = written(sketches(docs), "sketches")
-    same = written(rows.groupBy("w1", "w2").agg(F.min("id").alias("text_id")), "texts")
-    texts = same.join(rows.filter("sketches IS NOT NULL"), ["w1", "w2"]).filter("id = text_id").select("id", "sketches", "short")
-    # Rows that share an id are one document; a repeated row meets itself and links nothing.
-    texts = written(texts, "distinct-texts")
-    pairs, crowd = candidates(texts)
-    crowd = written(crowd, "crowd")
-    wide = written(links(docs, pairs, threshold), "links")
-    narrow = written(links(docs, narrow_candidates(crowd, components(wide, rounds=1)), threshold), "links")
-    found = wide.unionByName(narrow)
-    named = components(found)
-    doubtful = crowd.select("id").unionByName(texts.filter("short").select("id")).distinct()
-    exact = written(links(docs, exact_candidates(docs, doubtful, named, threshold), threshold), "links")
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """row, id, sha (of :func:`identified`) and class (least row of its group) of every row of ``docs``."""
+    source = identified(docs)
+    rows = written(sketches(source), "sketches")
+    if not rows.filter("sha IS NOT NULL").isEmpty():
+        source = source.dropDuplicates(["row"])
+    same = written(rows.groupBy("w1", "w2").agg(F.min("row").alias("id")), "texts")
+    own = rows.filter("sketches IS NOT NULL").select("w1", "w2", "row", "sketches", "short").join(same, ["w1", "w2"]).filter("row = id")
+    texts = written(own.select("id", "sketches", "short").dropDuplicates(["id"]), "distinct-texts")
+    met = meetings(texts)
+    low = written(met.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    high = met.filter("id <> low AND id <> high").select(F.col("id").alias("a"), F.col("high").alias("b")).distinct()
+    doubtful = written(met.filter("crowded").select("id").unionByName(texts.filter("short").select("id")).distinct(), "doubtful")
+    shingled = shingles_of(source, met.select("id").unionByName(doubtful).distinct())
+
+    found = links(shingled, low, threshold)
+    found = found.unionByName(links(shingled, written(apart(high, components(found, rounds=1)), "pairs"), threshold))
+    labels = components(found)
+    exact = links(shingled, exact_candidates(shingled.join(doubtful, "id"), labels, threshold), threshold)
     if not exact.isEmpty():
-        named = components(found.unionByName(exact))
-    named = same.join(named, F.col("id") == F.col("text_id"), "left").select("w1", "w2", F.coalesce("label", "text_id").alias("class_id"))
-    members = written(rows.select("id", "w1", "w2").join(written(named, "classes"), ["w1", "w2"]).select("id", "class_id"), "members")
-    sizes = written(members.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "sizes")
+        labels = components(found.unionByName(exact))
+    named = same.join(labels, "id", "left").select("w1", "w2", F.coalesce("label", "id").alias("class"))
+    return written(rows.select("row", "id", "sha", "w1", "w2").join(written(named, "classes"), ["w1", "w2"]).drop("w1", "w2"), "members")
+
+
+def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row a row of ``docs``: doc_id, class_id (least id of its group), class_size, kept (the row names the group; so do rows that repeat it)."""
+    members = classes(docs, threshold)
+    sizes = written(members.groupBy("class").agg(F.count(F.lit(1)).alias("class_size"), F.min("id").alias("class_id")), "sizes")
     plain = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    kept = F.col("id") == F.col("class_id")
-    return members.join(sizes, "class_id").select(plain("id").alias("doc_id"), plain("class_id").alias("class_id"), "class_size", kept.alias("kept"))
+    kept = (F.col("row") == F.col("class")).alias("kept")
+    return members.join(sizes, "class").select(plain("id").alias("doc_id"), plain("class_id").alias("class_id"), "class_size", kept)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that name their group, with all their columns."""
-    gone = near_dedup(docs, threshold).filter("NOT kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """One row of ``docs`` a group, with all its columns: the one that names the group."""
+    return keep_rows(docs, classes(docs, threshold).filter("row = class"))

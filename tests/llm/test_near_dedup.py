@@ -3,23 +3,15 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.llm import near_dedup as nd
 
 SCHEMA = "doc_id long, text string, id string, key string"
 
 
-def labelled(text):
+def shingles(text):
     w = nd._words(text or "")
-    if not w:
-        return []
-    grams = [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))]
-    seen, out = Counter(), []
-    for g in grams:
-        out.append((g, seen[g]))
-        seen[g] += 1
-    return out
+    return [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
 
 
 def lcs(a, b):
@@ -42,10 +34,10 @@ def brute(rows):
             x = parent[x]
         return x
 
-    seqs = [(d if d is not None else nd.NO_ID, nd._words(t or ""), labelled(t)) for d, t in rows]
+    seqs = [(d if d is not None else nd.NO_ID, nd._words(t or ""), shingles(t)) for d, t in rows]
     for i, (d, w, a) in enumerate(seqs):
         for e, v, b in seqs[:i]:
-            most = len(set(a) & set(b))  # labelled shingles are unique, so no alignment is longer
+            most = (Counter(a) & Counter(b)).total()  # no alignment is longer
             n = lcs(a, b) if a and b and most >= 0.8 * (len(a) + len(b) - most) else 0
             if w == v or (a and b and n >= 0.8 * (len(a) + len(b) - n)):
                 x, y = find(d), find(e)
@@ -84,7 +76,7 @@ def test_equals_comparing_all_pairs(spark, seed):
     assert mine == want
     sizes = Counter(want[d if d is not None else nd.NO_ID] for d, _ in rows)
     assert all(r.class_size == sizes[want[r.doc_id if r.doc_id is not None else nd.NO_ID]] for r in got)
-    assert len(nd.keep_one(df).dropDuplicates(["doc_id"]).collect()) == len(set(want.values()))
+    assert nd.keep_one(df).count() == len(set(want.values()))
     assert nd.keep_one(df).columns == df.columns
 
 
@@ -130,9 +122,8 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(41)) and got[102] == got[101] == 100 and got[200] == -5
 
 
-def test_template_crowd_loses_no_pair(spark, monkeypatch):
-    """Pairs of a crowd that meet in no narrow bucket, as happens in crowds of many thousands."""
-    monkeypatch.setattr(nd, "narrow_candidates", lambda crowd, labels: labels.select(F.col("id").alias("a"), F.col("id").alias("b")).filter("false"))
+def test_template_crowd_loses_no_pair(spark):
+    """Pairs whose ends are neither first nor last of the buckets of their crowd."""
     rng = random.Random(11)
     fresh = iter(range(10**7))
     template = [f"t{i}" for i in range(200)]
@@ -176,3 +167,51 @@ def test_short_texts_link_without_a_shared_sketch(spark):
     got = {r.doc_id: r.class_id for r in nd.near_dedup(spark.createDataFrame([(d, t, "x", "y") for d, t in named], SCHEMA)).collect()}
     assert got == brute(named)
     assert sum(got[names[i]] == got[names[i + 1]] for i in range(0, 160, 2)) == 80
+
+
+def test_alignment_of_repeated_shingles_is_the_plain_common_subsequence():
+    rng = random.Random(4)
+    for _ in range(80):
+        a = [rng.randint(0, 12) for _ in range(rng.randint(5, 70))]
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(b))
+            b[i : i + rng.randint(0, 2)] = [rng.randint(0, 12) for _ in range(rng.randint(0, 2))]
+        if not b:
+            continue
+        n = lcs(a, b)
+        exact = n / (len(a) + len(b) - n)
+        got = nd.similarity(np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64))
+        assert got == pytest.approx(exact) if exact >= 0.8 else got < 0.8
+
+
+def test_one_more_early_occurrence_of_a_phrase_keeps_the_pair(spark):
+    rng = random.Random(5)
+    phrase = "the same seven words stand here again"
+    parts = [" ".join(f"x{rng.randint(0, 10**6)}" for _ in range(20)) for _ in range(12)]
+    text = f" {phrase} ".join(parts)
+    rows = [(1, text), (2, f"{phrase} {text}"), (3, "short other text " * 3)]
+    got = {r.doc_id: r.class_id for r in nd.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and got[2] == 1
+
+
+def test_rows_of_one_id_go_by_their_own_texts(spark):
+    rng = random.Random(6)
+    make = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60))
+    a, b, c, d = make(), make(), make(), make()
+    rows = [(1, a), (5, a + " end"), (5, b), (None, c), (None, d), (7, c + " end"), (5, b)]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
+    kept = nd.keep_one(df)
+    assert sorted(kept.collect(), key=repr) == sorted(df.filter(~df.text.endswith(" end")).dropDuplicates().collect(), key=repr)
+    got = nd.near_dedup(df).collect()
+    assert len(got) == len(rows) and sum(r.kept for r in got) == 5
+    assert {(r.doc_id, r.class_id) for r in got} == {(1, 1), (5, 1), (5, 5), (None, None), (7, None)}
+
+
+def test_long_texts_and_nulls_in_every_column(spark):
+    rng = random.Random(7)
+    words = [f"w{rng.randint(0, 5000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:59_000])), (3, "z " * 30_000), (4, "z " * 30_100), (None, None)]
+    df = spark.createDataFrame([(i, t, None, None) for i, t in rows], SCHEMA)
+    got = {r.doc_id: r.class_id for r in nd.near_dedup(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, None: None}
