@@ -6,24 +6,28 @@ accept and one of those they reject. The score is the difference of the two log-
 length; its threshold is calibrated on a fifth of the decided URLs that the models never saw.
 
 A model interpolates orders 0 to ORDER: P_k(c | ctx) = (n(ctx, c) + STRENGTH * P_{k-1}(c)) / (n(ctx) + STRENGTH),
-so a context never seen falls back to the shorter one. Counts cover all decided URLs; contexts are
-hashed into tables of fixed size (SLOTS), which bounds what goes to the driver and out to the tasks.
-
-A null URL, or one without ``://``, has empty host and path, and scores 0. Empty URLs count as null.
-With no decided URLs all scores are 0 and the threshold is 0, which allows. Repeated pages get a row
-each; columns besides page_id and url are ignored.
+where n(ctx) is the sum of n(ctx, c) over all c and P_{-1} is uniform over all code points. So every context has a
+distribution that sums to 1, and a context never seen falls back to the shorter one. Before a URL stand ORDER start signs.
+
+All work is joins and aggregates over tables that grow with the pages. A position's probability depends on its gram alone, the
+ORDER characters before it and its own. So grams are counted as they are, without hashing, from distinct URLs; each distinct
+gram is looked up once in the counts of each order; and distinct URLs add up the ratios of their grams, as whole numbers
+of 2**-32, so that no order of rows changes a score. The driver sees the number of training characters and at most 2 * BINS
+counts of the threshold's histogram.
+
+A null URL, or one without ``://``, has empty host and path and scores 0, which is judged like any other score. Empty
+URLs count as null. With no decided URLs of one kind the threshold is 0; with none at all, all scores are 0 too, which
+allows. URLs of any length are taken whole. Repeated pages count as often as they stand there and get a row
+each; columns besides page_id and url are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map
+from tessera.llm.common import written
 
 #: Production rules: (verdict, host, path).
 RULES = (
@@ -35,11 +39,12 @@ RULES = (
 )
 ORDER = 5
 STRENGTH = 4.0
-SLOTS = 1 << 18
+#: Code points, all of which the uniform distribution below order 0 covers.
+ALPHABET = 0x110000
 #: Scores are cut to +-RANGE and counted in BINS bins to find the threshold.
 RANGE, BINS = 4.0, 4096
-_START = 2
-_M = np.uint64(0x9E3779B97F4A7C15)
+_START = "\u0002"
+_UNIT = 1 << 32
 
 
 def host_and_path(url: str = "url") -> tuple[Column, Column]:
@@ -60,90 +65,63 @@ def decide(rules=RULES) -> tuple[Column, Column]:
     return text, verdict
 
 
-def _slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of contexts and of context with next character, by order and position; lengths of the texts."""
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    raw = np.frombuffer(b"".join(bytes([_START]) * ORDER + t for t in texts), dtype=np.uint8)
-    ends = np.cumsum(lengths + ORDER)
-    inside = np.ones(len(raw), dtype=bool)
-    for i in range(ORDER):
-        inside[(ends - lengths - ORDER) + i] = False
-    at = np.flatnonzero(inside)
-    ch = raw.astype(np.uint64)
-    contexts, grams = np.empty((ORDER + 1, len(at)), np.int64), np.empty((ORDER + 1, len(at)), np.int64)
-    h = np.zeros(len(at), dtype=np.uint64)
-    for k in range(ORDER + 1):
-        if k:
-            h = (h ^ (ch[at - k] + np.uint64(1))) * _M
-            h ^= h >> np.uint64(29)
-        mark = (h + np.uint64(k + 1)) * _M
-        mark ^= mark >> np.uint64(32)
-        gram = (mark ^ (ch[at] + np.uint64(257))) * _M
-        gram ^= gram >> np.uint64(31)
-        contexts[k] = (mark % np.uint64(SLOTS)).astype(np.int64)
-        grams[k] = (gram % np.uint64(SLOTS)).astype(np.int64)
-    return contexts, grams, lengths
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task: slot numbers run over (verdict, table) blocks of SLOTS."""
-    tables = np.zeros((2, 2, SLOTS), dtype=np.int64)
-    for b in batches:
-        texts, labels = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for k, label in enumerate(("allow", "block")):
-            own = [t for t, x in zip(texts, labels, strict=True) if x == label]
-            if own:
-                contexts, grams, _ = _slots(own)
-                tables[k, 0] += np.bincount(contexts.ravel(), minlength=SLOTS)
-                tables[k, 1] += np.bincount(grams.ravel(), minlength=SLOTS)
-    flat = tables.ravel()
-    slots = np.flatnonzero(flat)
-    yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(flat[slots], pa.int64())], ["slot", "n"])
-
-
-def scores(texts: list[bytes], tables: np.ndarray) -> np.ndarray:
-    """Length-normalised log-likelihood difference, accepted less rejected; empty texts score 0."""
-    if not texts or not sum(map(len, texts)):
-        return np.zeros(len(texts))
-    contexts, grams, lengths = _slots(texts)
-    logs = []
-    for k in range(2):
-        p = np.full(contexts.shape[1], 1 / 256)
-        for order in range(ORDER + 1):
-            p = (tables[k, 1][grams[order]] + STRENGTH * p) / (tables[k, 0][contexts[order]] + STRENGTH)
-        logs.append(np.log(p))
-    total = np.concatenate([[0.0], np.cumsum(logs[0] - logs[1])])
-    ends = np.cumsum(lengths)
-    return (total[ends] - total[ends - lengths]) / np.maximum(lengths, 1)
-
-
-def train(labelled: DataFrame) -> np.ndarray:
-    """Count tables (verdict, contexts or grams, slot) of ``s`` (binary) by ``label``; the driver gets 4 * SLOTS rows at most."""
-    rows = arrow_map(labelled.select("s", "label"), _count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    flat = np.zeros(4 * SLOTS, dtype=np.int64)
-    flat[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return flat.reshape(2, 2, SLOTS)
-
-
-def scored(df: DataFrame, tables: np.ndarray) -> DataFrame:
-    """``df`` (page_id, host, path, rule, label) with its score."""
-    model = df.sparkSession.sparkContext.broadcast(tables)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [f"{h}{p}".encode() for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores(texts, model.value), pa.float64())], [*b.schema.names, "score"])
-
-    return arrow_map(df, run, "page_id long, host string, path string, rule string, label string, score double")
+def grams(urls: DataFrame, *keep: str) -> DataFrame:
+    """The ``keep`` columns and g, the gram of every position of ``s``: the ORDER characters before it, start signs included, and its own."""
+    # A column of its own, as a lambda works an expression out anew for each element.
+    rows = urls.filter("s <> ''").select(*keep, F.split(F.concat(F.lit(_START * ORDER), F.col("s")), "").alias("signs"))
+    places = F.sequence(F.lit(0), F.size("signs") - ORDER - 1)
+    return rows.select(*keep, F.explode(F.transform(places, lambda i: F.concat(*[F.get("signs", i + k) for k in range(ORDER + 1)]))).alias("g"))
+
+
+def count(urls: DataFrame) -> DataFrame:
+    """ctx, c, allow, block: how often a character follows a context of 0 to ORDER characters in URLs (s, label, n) of either kind."""
+    kinds = [F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(k) for k in ("allow", "block")]
+    whole = grams(urls, "label", "n").groupBy("g").agg(*kinds)
+    own = F.array(*[F.struct(F.substr("g", F.lit(ORDER + 1 - k), F.lit(k)).alias("ctx"), F.right("g", F.lit(1)).alias("c")) for k in range(ORDER + 1)])
+    rows = whole.select("allow", "block", F.explode(own).alias("x"))
+    return rows.groupBy("x.ctx", "x.c").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+
+
+def ratios(wanted: DataFrame, counts: DataFrame) -> DataFrame:
+    """g, allow and block (log-probability of its last character under each model) of distinct grams ``g``."""
+    totals = counts.filter("ctx <> ''").groupBy("ctx").agg(F.sum("allow").alias("t_allow"), F.sum("block").alias("t_block"))
+    # The empty context is one row that every gram needs: two numbers instead of a join.
+    one = counts.filter("ctx = ''").agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("allow", "block")]).first()
+    parts = [
+        F.struct(F.lit(k).alias("k"), F.substr("g", F.lit(ORDER + 1 - k), F.lit(k)).alias("ctx"), F.right("g", F.lit(1)).alias("c")) for k in range(ORDER + 1)
+    ]
+    rows = wanted.select("g", F.explode(F.array(*parts)).alias("x")).select("g", "x.k", "x.ctx", "x.c")
+    rows = rows.join(counts, ["ctx", "c"], "left")
+    rows = rows.filter("ctx = ''").withColumns({"t_allow": F.lit(one.allow), "t_block": F.lit(one.block)}).unionByName(rows.filter("ctx <> ''").join(totals, "ctx", "left"))
+    at = lambda c, k: F.coalesce(F.max(F.when(F.col("k") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}")
+    wide = rows.groupBy("g").agg(*[at(c, k) for c in ("allow", "block", "t_allow", "t_block") for k in range(ORDER + 1)])
+    out = []
+    for kind in ("allow", "block"):
+        p = F.lit(1 / ALPHABET)
+        for k in range(ORDER + 1):
+            p = (F.col(f"{kind}{k}") + STRENGTH * p) / (F.col(f"t_{kind}{k}") + STRENGTH)
+        out.append(F.log(p).alias(kind))
+    return wide.select("g", *out)
+
+
+def scored(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """u and score of distinct URLs (u, s): the accepted less the rejected log-likelihood over the length; 0 if empty."""
+    places = grams(urls, "u").groupBy("u", "g").agg(F.count(F.lit(1)).alias("n"))
+    places = written(places, "url-grams")
+    known = ratios(places.select("g").distinct(), counts).select("g", F.round((F.col("allow") - F.col("block")) * _UNIT).cast("bigint").alias("ratio"))
+    # Written, as adaptive execution splits a skewed join only where both sides come straight from a shuffle.
+    total = places.join(written(known, "gram-ratios"), "g").groupBy("u").agg(F.sum(F.col("n") * F.col("ratio")).alias("total"))
+    score = F.coalesce(F.col("total") / _UNIT / F.length("s"), F.lit(0.0))
+    return urls.select("u", "s").join(total, "u", "left").select("u", score.alias("score"))
 
 
 def threshold(held: DataFrame) -> float:
-    """The score that best separates held-out accepted from rejected URLs: highest balanced accuracy, nearest to 0 if several."""
+    """The score that best separates held-out accepted from rejected URLs (label, score, n): highest balanced accuracy, nearest to 0 if several."""
     cut = F.greatest(F.lit(-RANGE), F.least(F.lit(RANGE - 1e-9), F.col("score")))
-    rows = held.groupBy(F.floor((cut + RANGE) / (2 * RANGE) * BINS).cast("int").alias("bin"), "label").count().collect()
+    rows = held.groupBy(F.floor((cut + RANGE) / (2 * RANGE) * BINS).cast("int").alias("bin"), "label").agg(F.sum("n").alias("n")).collect()
     counts = {k: np.zeros(BINS) for k in ("allow", "block")}
     for r in rows:
-        counts[r.label][r.bin] += r["count"]
+        counts[r.label][r.bin] += r.n
     if not all(c.sum() for c in counts.values()):
         return 0.0
     edges = np.arange(BINS + 1) * (2 * RANGE / BINS) - RANGE
@@ -158,10 +136,12 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     host, path = host_and_path()
     df = pages.select(F.col("page_id").cast("bigint"), host.alias("host"), path.alias("path"))
     rule, label = decide(rules)
-    df = df.select("*", rule.alias("rule"), label.alias("label"))
-    fold = F.pmod(F.xxhash64("host", "path"), F.lit(5))
-    known = df.filter("label IS NOT NULL").withColumn("s", F.concat("host", "path").cast("binary"))
-    tables = train(known.filter(fold != 0))
-    limit = threshold(scored(known.filter(fold == 0).drop("s"), tables))
+    urls = df.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
+    urls = urls.select("*", rule.alias("rule"), label.alias("label"), F.concat("host", "path").alias("s"), F.monotonically_increasing_id().alias("u"))
+    urls = written(urls.withColumn("fold", F.pmod(F.xxhash64("host", "path"), F.lit(5))), "urls")
+    counts = written(count(urls.filter("label IS NOT NULL AND fold <> 0")), "gram-counts")
+    judged = written(urls.drop("s").join(scored(urls.select("u", "s"), counts), "u"), "judged-urls")
+    limit = threshold(judged.filter("label IS NOT NULL AND fold = 0"))
     verdict = F.coalesce("label", F.when(F.col("score") >= limit, "allow").otherwise("block"))
-    return scored(df, tables).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score", F.lit(limit).alias("threshold"))
+    judged = judged.select("host", "path", "rule", verdict.alias("verdict"), "score", F.lit(limit).alias("threshold"))
+    return df.join(judged, ["host", "path"]).select("page_id", "host", "path", "rule", "verdict", "score", "threshold")

@@ -1,7 +1,9 @@
 """Edge cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -42,38 +44,72 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(df.filter("false")).count() == 0
 
 
-def test_url_model_separates_and_matches_plain_counting(spark):
+class PlainModel:
+    """Both Markov models by counting characters behind contexts."""
+
+    def __init__(self, urls):
+        self.n, self.total = Counter(), Counter()
+        for s, label in urls:
+            for ctx, c in self.steps(s):
+                self.n[label, ctx, c] += 1
+                self.total[label, ctx] += 1
+
+    @staticmethod
+    def steps(s):
+        t = "\x02" * url_filter.ORDER + s
+        return [(t[i - k : i], t[i]) for i in range(url_filter.ORDER, len(t)) for k in range(url_filter.ORDER + 1)]
+
+    def p(self, label, past, c):
+        p = 1 / url_filter.ALPHABET
+        for k in range(url_filter.ORDER + 1):
+            ctx = past[len(past) - k :]
+            p = (self.n[label, ctx, c] + url_filter.STRENGTH * p) / (self.total[label, ctx] + url_filter.STRENGTH)
+        return p
+
+    def score(self, s):
+        t, o = "\x02" * url_filter.ORDER + s, url_filter.ORDER
+        total = sum(round((math.log(self.p("allow", t[i - o : i], t[i])) - math.log(self.p("block", t[i - o : i], t[i]))) * 2**32) for i in range(o, len(t)))
+        return total / 2**32 / len(s) if s else 0.0
+
+
+def test_url_query_equals_a_plain_version(spark):
     rng = random.Random(1)
-    good = [f"site{rng.randint(0, 99)}.com/article/{rng.randint(0, 999)}" for _ in range(300)]
-    bad = [f"casino-{rng.randint(0, 99)}.net/fr/win/{rng.randint(0, 999)}" for _ in range(300)]
-    open_ = [f"site{i}.org/article/{i}" for i in range(50)] + [f"casino-{i}.org/fr/win/{i}" for i in range(50)]
-    df = spark.createDataFrame(list(enumerate("http://" + u for u in good + bad + open_)), "page_id long, url string")
+    good = [f"site{rng.randint(0, 99)}.com/article/{rng.randint(0, 999)}" for _ in range(200)]
+    bad = [f"casino-{rng.randint(0, 99)}.net/fr/win/{rng.randint(0, 999)}" for _ in range(200)] + ["casino-1.net/fr/win/5"] * 20
+    open_ = [f"site{i}.org/article/{i}" for i in range(50)] + [f"casino-{i}.org/fr/win/{i}" for i in range(50)] + ["grüße.org/🙂", "", "x" * 30_000]
+    urls = ["http://" + u for u in good + bad + open_] + [None, "", "none"]
+    df = spark.createDataFrame([(i, u, "h", 1.0) for i, u in enumerate(urls)], "page_id long, url string, host string, score double").repartition(3)
+    fold = spark.createDataFrame([(u.partition("/")[0], u[len(u.partition("/")[0]) :]) for u in good + bad], "host string, path string")
+    fold = {r.host + r.path: r.f for r in fold.select("*", F.pmod(F.xxhash64("host", "path"), F.lit(5)).alias("f")).collect()}
+    labelled = [(u, "allow") for u in good] + [(u, "block") for u in bad]
+    model = PlainModel([(u, x) for u, x in labelled if fold[u]])
+    held = [(model.score(u), x) for u, x in labelled if not fold[u]]
+    grid = [i * 2 * url_filter.RANGE / url_filter.BINS - url_filter.RANGE for i in range(url_filter.BINS + 1)]
+    share = lambda e: sum(s >= e for s, x in held if x == "allow") / sum(x == "allow" for _, x in held) + sum(s < e for s, x in held if x == "block") / sum(x == "block" for _, x in held)
+    best = max(map(share, grid))
+    limit = min((abs(e), e) for e in grid if share(e) >= best - 1e-12)[1]
     got = {r.page_id: r for r in url_filter.filter_urls(df).collect()}
-    assert sum(got[600 + i].verdict == "allow" for i in range(50)) >= 48
-    assert sum(got[650 + i].verdict == "block" for i in range(50)) >= 48
-    texts = [b"abcab", b"abd"]
-    tables = np.zeros((2, 2, url_filter.SLOTS), dtype=np.int64)
-    c, g, _ = url_filter._slots(texts)
-    np.add.at(tables[0, 0], c.ravel(), 1)
-    np.add.at(tables[0, 1], g.ravel(), 1)
-
-    def plain(text):
-        total = 0.0
-        for i in range(len(text)):
-            p = 1 / 256
-            for k in range(url_filter.ORDER + 1):
-                pad = b"\x02" * url_filter.ORDER
-                ctx = (pad + text)[i + url_filter.ORDER - k : i + url_filter.ORDER]
-                n = m = 0
-                for t in texts:
-                    for j in range(len(t)):
-                        if (pad + t)[j + url_filter.ORDER - k : j + url_filter.ORDER] == ctx:
-                            n, m = n + 1, m + (t[j] == text[i])
-                p = (m + 4 * p) / (n + 4)
-            total += np.log(p) - np.log(1 / 256)
-        return total / len(text)
-
-    assert url_filter.scores([b"abca", b""], tables).tolist() == pytest.approx([plain(b"abca"), 0.0])
+    assert len(got) == len(urls)
+    for i, u in enumerate(urls):
+        s = (u or "").partition("://")[2]
+        want = model.score(s)
+        assert got[i].score == pytest.approx(want, abs=1e-8) and got[i].threshold == pytest.approx(limit)
+        assert got[i].verdict == (got[i].rule and dict(com="allow", net="block")[got[i].rule[:3]] or ("allow" if want >= limit else "block"))
+    assert sum(got[420 + i].verdict == "allow" for i in range(50)) >= 48 and sum(got[470 + i].verdict == "block" for i in range(50)) >= 48
+
+
+def test_every_context_has_a_distribution_that_sums_to_one(spark):
+    rows = [("abcab/é", "allow", 2), ("abd", "allow", 1), ("xyxy", "block", 1), ("", "block", 1)]
+    counts = url_filter.count(spark.createDataFrame(rows, "s string, label string, n int"))
+    signs = "abcdxy/é\x02"
+    pasts = ["\x02" * 5, "\x02\x02abc", "xyxyx", "zzzzz", "qqqab"]
+    got = url_filter.ratios(spark.createDataFrame([(p + c,) for p in pasts for c in signs + "q"], "g string"), counts).collect()
+    plain = PlainModel([(s, x) for s, x, n in rows for _ in range(n)])
+    for kind in ("allow", "block"):
+        for past in pasts:
+            own = {r.g[-1]: math.exp(r[kind]) for r in got if r.g[:-1] == past}
+            assert sum(own[c] for c in signs) + own["q"] * (url_filter.ALPHABET - len(signs)) == pytest.approx(1)
+            assert own == pytest.approx({c: plain.p(kind, past, c) for c in own})
 
 
 # Chat format
