@@ -5,12 +5,16 @@
 2. A directory is built from a histogram of the bytes behind each key prefix. Doubling starts
    from one bucket: an overfull bucket splits by its next key bit, and the directory doubles
    when a bucket as deep as the directory must split. Buckets are key ranges.
-3. Texts go to the task that owns their bucket. Map tasks first collapse equal texts, so a
-   group of copies reaches its owner as at most a row a map task. The owner chains entries
-   of equal key, compares bytes, and writes the bucket of the index to the shared folder.
-4. Entries look their group up in the index; skewed groups are split by adaptive joins.
-
-Null text counts as empty, empty texts equal each other. Rows that repeat both text and id
+3. Owner tasks process key ranges: as many neighbouring buckets as have OWNED bytes together. Map tasks first collapse
+   equal texts, so a group of copies reaches its owner as at most a few rows a map task. An owner gets its
+   rows in the order of bucket and key, chains entries of equal key, compares bytes, and writes the index to the shared
+   folder. It holds the chain of one key at a time, so a bucket's size bounds no memory: where the directory is as
+   large as it may be (2**MAX_DEPTH cells, 4 TB of distinct text), buckets grow and nothing else changes.
+4. Entries look their group up by key. Where a key's chain has several links, the digest tells which;
+   where it has one, the owner's comparison of bytes has shown that all texts of the key are equal.
+   Skewed groups are split by adaptive joins.
+
+Null text counts as empty, empty texts equal each other. Texts of any length are taken whole. Rows that repeat both text and id
 count as copies; exactly one row of a group is kept. A null id is smaller than any other.
 Other columns are ignored, so their names can't clash. An empty table gives an empty result.
 """
@@ -26,10 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, text_or_empty, written
+from tessera.llm.common import NO_ID, arrow_map, keep_rows, text_or_empty, written
 
-#: Bytes of distinct text that an owner task holds; a larger bucket splits.
+#: Bytes of distinct text in a bucket; a larger one splits.
 CAPACITY = 4 << 20
+#: Bytes of distinct text that an owner task gets buckets of.
+OWNED = 64 << 20
 #: The directory has at most 2**MAX_DEPTH cells.
 MAX_DEPTH = 20
 #: Bytes of distinct text that a map task collapses before it passes them on.
@@ -89,21 +95,28 @@ def entries(docs: DataFrame, key_bits: int = 64) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("bigint"), text_or_empty().cast("binary")), run, "doc_id long, key long, text_sha256 string, n_bytes long")
 
 
-def build_directory(fingerprints: DataFrame, capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
-    """Directory over the distinct keys of the entries, and its depth; the driver sees 2**depth numbers at most."""
+def build_directory(fingerprints: DataFrame, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, int]:
+    """Directory over the distinct keys of the entries, the owner of each bucket, and the directory's depth; the driver sees 2**depth numbers at most."""
     keys = fingerprints.groupBy("key").agg(F.max("n_bytes").alias("n_bytes"))
     total = fingerprints.agg(F.sum("n_bytes").alias("n")).first().n or 0
     depth = int(np.clip(np.ceil(np.log2(max(1, total / capacity))) + 2, 1, MAX_DEPTH))
     cell = F.shiftrightunsigned("key", 64 - depth).alias("cell")
-    rows = keys.groupBy(cell).agg(F.sum("n_bytes").alias("n")).collect()
-    return directory({r.cell: r.n for r in rows}, depth, capacity), depth
+    cells = {r.cell: r.n for r in keys.groupBy(cell).agg(F.sum("n_bytes").alias("n")).collect()}
+    pointers = directory(cells, depth, capacity)
+    sizes = np.zeros(int(pointers[-1]) + 1, dtype=np.int64)
+    for c, n in cells.items():
+        sizes[pointers[c]] += n
+    tasks = min(len(sizes), max(int(sizes.sum() / OWNED) + 1, fingerprints.sparkSession.sparkContext.defaultParallelism))
+    before = np.cumsum(sizes) - sizes
+    return pointers, np.minimum(before * tasks // max(1, int(sizes.sum())), tasks - 1).astype(np.int32), depth
 
 
-_POSTING = "bucket int, key long, text binary, keep_id long, n long"
-_INDEX = "bucket int, key long, chain int, text_sha256 string, keep_id long, group_size long"
+_POSTING = "owner int, bucket int, key long, text binary, keep_id long, n long"
+_INDEX = "bucket int, key long, chain int, chained int, text_sha256 string, keep_id long, group_size long"
+_NAMES = ["owner", "bucket", "key", "text", "keep_id", "n"]
 
 
-def _postings(pointers: np.ndarray, depth: int, key_bits: int):
+def _postings(pointers: np.ndarray, owners: np.ndarray, depth: int, key_bits: int):
     """Map side: equal texts of a task become one row with their largest id and count."""
 
     def emit(held: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
@@ -111,14 +124,10 @@ def _postings(pointers: np.ndarray, depth: int, key_bits: int):
         for at in range(0, len(texts), 512):
             part = texts[at : at + 512]
             keys = [key_of(t, key_bits) for t in part]
-            buckets = [int(pointers[(k & ((1 << 64) - 1)) >> (64 - depth)]) for k in keys]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(buckets, pa.int32()), pa.array(keys, pa.int64()), pa.array(part, pa.binary()),
-                    pa.array([held[t][0] for t in part], pa.int64()), pa.array([held[t][1] for t in part], pa.int64()),
-                ],
-                ["bucket", "key", "text", "keep_id", "n"],
-            )
+            buckets = pointers[[(k & ((1 << 64) - 1)) >> (64 - depth) for k in keys]]
+            ids, counts = (pa.array([held[t][i] for t in part], pa.int64()) for i in range(2))
+            columns = [pa.array(owners[buckets], pa.int32()), pa.array(buckets, pa.int32()), pa.array(keys, pa.int64()), pa.array(part, pa.binary()), ids, counts]
+            yield pa.RecordBatch.from_arrays(columns, _NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list] = {}
@@ -142,13 +151,24 @@ def _postings(pointers: np.ndarray, depth: int, key_bits: int):
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Owner of a bucket: chains of equal key, one link a distinct text; bytes decide."""
-    chains: dict[int, list[list]] = {}
-    bucket = None
+    """Owner of key ranges, in the order of bucket and key: chains of equal key, one link a distinct text; bytes decide."""
+    done: list[tuple] = []
+    place, chain = None, []  # links of the key at hand: text, largest id, rows
+
+    def close() -> None:
+        done.extend((*place, i, len(chain), hashlib.sha256(link[0]).hexdigest(), *link[1:]) for i, link in enumerate(chain))
+
+    def emit() -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+        columns = [pa.array([x[i] for x in done], k) for i, k in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "key", "chain", "chained", "text_sha256", "keep_id", "group_size"])
+
     for b in batches:
-        for where, key, text, doc_id, n in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            bucket = where
-            chain = chains.setdefault(key, [])
+        for bucket, key, text, doc_id, n in zip(*(b.column(i).to_pylist() for i in range(1, 6)), strict=True):
+            if (bucket, key) != place:
+                if chain:
+                    close()
+                place, chain = (bucket, key), []
             link = next((x for x in chain if x[0] == text), None)
             if link is None:
                 chain.append([text, doc_id, n])
@@ -156,36 +176,31 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             link[2] += n
             if doc_id is not None and (link[1] is None or doc_id > link[1]):
                 link[1] = doc_id
-    flat = [(key, i, *link) for key, chain in chains.items() for i, link in enumerate(chain)]
-    for at in range(0, len(flat), 4096):
-        part = flat[at : at + 4096]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([bucket] * len(part), pa.int32()), pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int32()),
-                pa.array([hashlib.sha256(x[2]).hexdigest() for x in part], pa.string()),
-                pa.array([x[3] for x in part], pa.int64()), pa.array([x[4] for x in part], pa.int64()),
-            ],
-            ["bucket", "key", "chain", "text_sha256", "keep_id", "group_size"],
-        )
-
-
-def build_index(docs: DataFrame, pointers: np.ndarray, depth: int, key_bits: int = 64) -> DataFrame:
-    """The index as a table in the shared folder: bucket, key, chain, text_sha256, keep_id, group_size."""
+        if len(done) > 4096:
+            yield emit()
+            done.clear()
+    if chain:
+        close()
+    yield emit()
+
+
+def build_index(docs: DataFrame, pointers: np.ndarray, owners: np.ndarray, depth: int, key_bits: int = 64) -> DataFrame:
+    """The index as a table in the shared folder: bucket, key, chain (number of the link), chained (links of the key), text_sha256, keep_id, group_size."""
     texts = docs.select(F.col("doc_id").cast("bigint"), text_or_empty().cast("binary"))
-    rows = arrow_map(texts, _postings(pointers, depth, key_bits), _POSTING)
-    dealt = rows.repartitionById(int(pointers[-1]) + 1, F.col("bucket"))
+    rows = arrow_map(texts, _postings(pointers, owners, depth, key_bits), _POSTING)
+    dealt = rows.repartitionById(int(owners[-1]) + 1, F.col("owner")).sortWithinPartitions("bucket", "key")
     return written(arrow_map(dealt, _own, _INDEX), "hash-index")
 
 
 def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = 64) -> DataFrame:
     """One row a row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     found = written(entries(docs, key_bits), "hash-entries")
-    pointers, depth = build_directory(found, capacity)
-    index = build_index(docs, pointers, depth, key_bits).select("text_sha256", "keep_id", "group_size")
+    index = build_index(docs, *build_directory(found, capacity), key_bits).select("key", "chained", "text_sha256", "keep_id", "group_size")
     # Only a repeated row shares both text and id with another; one of them stays. The number comes
     # before the join, which adaptive execution can then split where a group is large.
     twin = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("key"))
-    joined = found.withColumn("twin", twin).join(index, "text_sha256")
+    found = found.withColumn("twin", twin).withColumnRenamed("text_sha256", "own_sha256")
+    joined = found.join(index, "key").filter("chained = 1 OR own_sha256 = text_sha256")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("twin") == 1)
     return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
@@ -196,15 +211,5 @@ def keep_one(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Rows go by id. Where an id has several rows, they also go by text, and of rows with
     the same id and text one is taken.
     """
-    kept = exact_dedup(docs, capacity).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    kept = written(kept, "kept")
-    by_id = F.col("doc_id").eqNullSafe(F.col("__id"))
-    several = written(docs.groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id"), "shared-ids")
-    if several.isEmpty():  # as it should be; then the texts travel once
-        return docs.join(kept, by_id, "left_semi")
-    plain = docs.join(several, by_id, "left_anti").join(kept, by_id, "left_semi")
-    sha = F.sha2(F.translate(text_or_empty(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
-    first = F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy("__own"))
-    alike = docs.join(several, by_id, "left_semi").withColumn("__own", sha).withColumn("__n", first).filter("__n = 1")
-    alike = alike.join(kept, by_id & (F.col("__own") == F.col("__sha")), "left_semi")
-    return plain.unionByName(alike.drop("__own", "__n"))
+    kept = exact_dedup(docs, capacity).filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_sha256").alias("sha"))
+    return keep_rows(docs, kept, F.sha2(F.translate(text_or_empty(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256))
