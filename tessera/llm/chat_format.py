@@ -13,12 +13,13 @@ exactly; a merged turn can be told from two turns, and the turns are read back a
 Order is by turn, then role, then text (nulls first), so ties and repeated rows have one result
 and all are kept. Null role and null text count as empty; rows of null conv_id form one
 conversation. Other columns are ignored. No rows, no result. A conversation is one output row, so
-it has to fit a row; its loss spans are gathered in time that grows with the square of its turns.
+it has to fit a row; its turns are sorted, and otherwise work is in proportion to its length: where a text stands
+follows from a running sum over the turns, and texts are read back by byte, not by counting signs from the start.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The role whose texts are trained on.
@@ -36,41 +37,27 @@ def unescape(c: Column) -> Column:
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """conv_id, ``formatted``, and ``loss_spans``: start and length in code points of each trained text, in order."""
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    df = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    """conv_id, ``formatted``, and ``loss_spans``: start and length in UTF-8 bytes of each trained text, in order."""
+    role, text = (F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text"))
+    df = conversations.select("conv_id", "turn", role, text).withColumns({"shown": escape(F.col("role")), "said": escape(F.col("text"))})
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    # What stands between the text before and this one: the signs that close and open merged turns, or part texts in one.
+    last, marks = F.lag("role").over(order), F.octet_length("shown") + 9
+    between = F.when(last.isNull(), marks).when(last != F.col("role"), marks + 4).otherwise(7)
+    df = df.withColumn("n", F.octet_length("said")).withColumn("between", between)
+    df = df.withColumn("start", F.sum(F.col("between") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text", "start", "shown", "said", "n")))
+    df = df.groupBy("conv_id").agg(turns.alias("turns"))
     # starts: positions at which the role changes; merged: each run of turns as role and texts
     df = df.withColumn("starts", F.expr("filter(sequence(0, size(turns) - 1), i -> i = 0 OR get(turns, i - 1).role <> turns[i].role)"))
-    df = df.withColumn(
-        "merged",
-        F.expr(
-            "transform(starts, (s, j) -> struct(turns[s].role AS role,"
-            " transform(slice(turns, s + 1, coalesce(get(starts, j + 1), size(turns)) - s), t -> t.text) AS texts))"
-        ),
+    merged = F.expr(
+        "transform(starts, (s, j) -> struct(turns[s].shown AS shown,"
+        " transform(slice(turns, s + 1, coalesce(get(starts, j + 1), size(turns)) - s), t -> t.said) AS texts))"
     )
-    shaped = F.transform("merged", lambda m: F.struct(m["role"].alias("role"), escape(m["role"]).alias("shown"), F.transform(m["texts"], escape).alias("texts")))
-    df = df.select("conv_id", shaped.alias("merged"))
+    df = df.withColumn("merged", merged)
     whole = F.transform("merged", lambda m: F.concat(F.lit("<s>"), m["shown"], F.lit("[INST]"), F.array_join(m["texts"], "[/INST]"), F.lit("</s>")))
-    # Each text as the length of what stands before it, its own length, of what follows, and whether it is trained on.
-    lengths = F.flatten(
-        F.transform(
-            "merged",
-            lambda m: F.transform(
-                m["texts"],
-                lambda t, i: F.struct(
-                    F.when(i == 0, F.length(m["shown"]) + 9).otherwise(7).alias("pre"), F.length(t).alias("n"),
-                    F.when(i == F.size(m["texts"]) - 1, 4).otherwise(0).alias("post"), (m["role"] == LOSS_ROLE).alias("loss"),
-                ),
-            ),
-        )
-    )
-    df = df.select("conv_id", F.array_join(whole, "").alias("formatted"), lengths.alias("lengths"))
-    spans = F.expr(
-        "aggregate(lengths, struct(0 AS at, cast(array() AS array<struct<start: int, n: int>>) AS spans),"
-        " (a, x) -> struct(a.at + x.pre + x.n + x.post AS at,"
-        " CASE WHEN x.loss THEN concat(a.spans, array(struct(a.at + x.pre AS start, x.n AS n))) ELSE a.spans END AS spans), a -> a.spans)"
-    )
-    return df.select("conv_id", "formatted", spans.alias("loss_spans"))
+    spans = F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), lambda t: F.struct(t["start"].alias("start"), t["n"].alias("n")))
+    return df.select("conv_id", F.array_join(whole, "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -86,15 +73,15 @@ def read_turns(formatted: Column) -> Column:
     return F.flatten(F.transform(runs, turns))
 
 
-def read_loss(formatted: Column, spans: Column) -> Column:
-    """The trained texts under the loss mask, unescaped and joined."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["n"]))), "")
+def read_loss(raw: Column, spans: Column) -> Column:
+    """The trained texts under the loss mask, unescaped and joined; ``raw`` is a column with the formatted text's bytes."""
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(raw, (s["start"] + 1).cast("int"), s["n"]).cast("string"))), "")
 
 
 def chat_digest(conversations: DataFrame) -> DataFrame:
     """What is read back from the formatted conversations: turns, loss text and their hashes."""
-    df = format_chats(conversations)
-    df = df.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    df = format_chats(conversations).withColumn("raw", F.col("formatted").cast("binary"))
+    df = df.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("raw"), F.col("loss_spans")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return df.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -120,7 +121,8 @@ def test_chat_edges(spark):
     rows = [(1, i, role, t, "x") for i, t in enumerate(nasty) for role in ("assistant",)] + [(2, 0, None, "t", "x"), (2, 0, "[INST]", "u", "x"), (None, None, "user", "n", "x"), (3, 0, "user", "same", "x"), (3, 0, "user", "same", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
     got = chat_format.format_chats(df)
-    back = got.select("conv_id", "formatted", chat_format.read_turns(F.col("formatted")).alias("t"), chat_format.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    raw = F.col("formatted").cast("binary")
+    back = got.select("conv_id", "formatted", chat_format.read_turns(F.col("formatted")).alias("t"), chat_format.read_loss(raw, F.col("loss_spans")).alias("loss"))
     by = {r.conv_id: r for r in back.collect()}
     assert [x.text for x in by[1].t] == [t or "" for t in nasty] and by[1].loss == "".join(t or "" for t in nasty)
     assert by[1].formatted.count("<s>") == 1 and by[1].formatted.startswith("<s>assistant[INST]")
@@ -132,6 +134,20 @@ def test_chat_edges(spark):
     assert chat_format.chat_digest(df.filter("false")).count() == 0
 
 
+def test_long_conversations_take_time_in_proportion(spark):
+    took = []
+    for n in (20_000, 80_000):
+        turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é<s> "), "id").alias("text"))
+        start = time.perf_counter()
+        got = chat_format.chat_digest(turns).collect()[0]
+        took.append(time.perf_counter() - start)
+        texts = [f"é<s> {i}" for i in range(n) if i % 3]
+        assert got.n_turns == n and got.loss_sha256 == hashlib.sha256("".join(texts).encode()).hexdigest()
+    assert took[1] < 10 * took[0] + 2, took
+    long = spark.createDataFrame([(1, 0, "assistant", "ab\\[INST]é" * 200_000)], "conv_id long, turn long, role string, text string")
+    assert chat_format.chat_digest(long).collect()[0].loss_sha256 == hashlib.sha256(("ab\\[INST]é" * 200_000).encode()).hexdigest()
+
+
 def test_chat_runs_no_python(spark):
     plan = QUERIES["op2_chat_formatting"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
