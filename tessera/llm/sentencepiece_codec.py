@@ -1,17 +1,19 @@
 """SentencePiece encoding with byte spans, and decoding.
 
 Normalisation takes the longest prefix that the model's compiled character map knows, or else one
-character, and records for every normalised byte where its source begins. Pieces partition the
-normalised text, so their byte lengths project each piece onto a span of original UTF-8 bytes.
+character, and records for every normalised byte where its source begins. A model without a map, as the production
+one, has no known prefixes, so every character stands for itself. The normalised text is what is encoded, by the model's
+pieces with its normaliser taken out; pieces partition it, so their byte lengths project each piece onto a span
+of original UTF-8 bytes.
 
-No piece of the model crosses from a sign to a word mark behind it (checked on loading), so a text
+Where no piece of the model crosses from a sign to a word mark behind it (checked on loading), a normalised text
 falls into units, each a run of word marks and what follows; the merges of a unit depend on it alone.
-Distinct units are encoded by the sentencepiece library once and remembered up to a bound.
-
-A model with a character map, or with pieces across word marks, is given whole texts instead.
+Distinct units are encoded by the sentencepiece library once and remembered up to a bound. Otherwise a
+normalised text is one unit, and a task holds the pieces of one batch's whole texts.
 
 Null text counts as empty and has begin and end id alone. Very long texts and units are taken
-whole. Repeated rows get a row each; columns besides doc_id and text are ignored.
+whole. Where pieces don't add up to the normalised text, spans are null and ids as they are. Repeated rows get a row each; columns besides
+doc_id and text are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -141,47 +143,46 @@ class Codec:
         spec = proto.normalizer_spec
         if proto.trainer_spec.treat_whitespace_as_suffix or not proto.trainer_spec.byte_fallback:
             raise ValueError("the model must mark words with a prefix and fall back to bytes")
+        if any(p.type == p.USER_DEFINED for p in proto.pieces):
+            raise ValueError("the model must have no pieces that users defined, which bypass its normaliser")
         self.normalize = Normalizer(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
         self.width = np.array([1 if p.type == p.BYTE else len(p.piece.encode()) for p in proto.pieces], dtype=np.int64)
-        crossing = any(MARK in p.piece.lstrip(MARK) or p.type == p.USER_DEFINED for p in proto.pieces)
-        identity = not spec.precompiled_charsmap and not spec.remove_extra_whitespaces
-        self.by_unit = identity and spec.add_dummy_prefix and spec.escape_whitespaces and not crossing
+        crossing = any(MARK in p.piece.lstrip(MARK) for p in proto.pieces)
+        self.units = re.compile(r"(?s).+" if crossing or not spec.escape_whitespaces else f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
         self.begin, self.end = (np.array([i], dtype="<u4").tobytes() for i in (self.sp.bos_id(), self.sp.eos_id()))
-        self.units = re.compile(f"{MARK}+[^{MARK}]*").findall
+        spec.name, spec.precompiled_charsmap = "identity", b""
+        spec.add_dummy_prefix = spec.remove_extra_whitespaces = spec.escape_whitespaces = False
+        self.bare = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, units: set[str]) -> None:
-        """Ids of units; the library itself puts the first mark before what it gets, but gives nothing for no text."""
-        rest = [u for u in units if u != MARK]
-        for u, ids in zip(rest, self.sp.encode([u[1:] for u in rest], num_threads=1), strict=True):
+    def _learn(self, units: list[str]) -> None:
+        """Ids of units, which are normalised already."""
+        for u, ids in zip(units, self.bare.encode(units, num_threads=1), strict=True):
             self.known[u] = np.array(ids, dtype="<u4").tobytes()
-        self.known[MARK] = np.array([self.sp.piece_to_id(MARK)], dtype="<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers, with begin and end id."""
-        if not self.by_unit:
-            return [self.begin + np.array(ids, dtype="<u4").tobytes() + self.end for ids in self.sp.encode(texts, num_threads=1)]
+    def encode(self, texts: list[str]) -> list[tuple[bytes, int, np.ndarray]]:
+        """Ids of each text as little-endian 32-bit integers, with begin and end id; length of the normalised text, and its bytes' sources."""
         if len(self.known) > REMEMBERED:
             self.known = {}
-        split = [self.units(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = set().union(*split) - self.known.keys()
+        aligned = [self.normalize(t.encode()) for t in texts]
+        split = [self.units(normal.decode()) for normal, _ in aligned]
+        new = list(set().union(*split) - self.known.keys())
         if new:
             self._learn(new)
         known = self.known
-        out = [b"".join([self.begin, *[known[u] for u in units], self.end]) for units in split]
+        out = [(b"".join([self.begin, *[known[u] for u in units], self.end]), len(normal), source) for units, (normal, source) in zip(split, aligned, strict=True)]
         for u in new:
             if len(u) > LONGEST:
                 del known[u]
         return out
 
-    def spans(self, text: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and past-the-end byte in ``text`` of every id; begin and end id get empty spans."""
-        normal, source = self.normalize(text)
+    def spans(self, length: int, source: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """First and past-the-end byte in the text of every id; begin and end id get empty spans. None if pieces don't add up."""
         ends = np.cumsum(self.width[ids[1:-1]])
-        if (ends[-1] if len(ends) else 0) != len(normal):
-            raise ValueError("the pieces don't add up to the normalised text")
+        if (ends[-1] if len(ends) else 0) != length:
+            return None
         begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        return np.concatenate([[0], source[begins], [len(text)]]), np.concatenate([[0], source[ends], [len(text)]])
+        return np.concatenate([[0], source[begins], source[-1:]]), np.concatenate([[0], source[ends], source[-1:]])
 
     def decode(self, ids: np.ndarray) -> str:
         """The library's text of ids."""
@@ -210,13 +211,14 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            ids = [np.frombuffer(x, dtype="<u4") for x in codec.encode(texts)]
-            spans = [codec.spans(t.encode(), x) for t, x in zip(texts, ids, strict=True)]
+            found = codec.encode(b.column(1).to_pylist())
+            ids = [np.frombuffer(x, dtype="<u4") for x, *_ in found]
+            spans = [codec.spans(*where, x) for (_, *where), x in zip(found, ids, strict=True)]
+            begins, ends = ([s and s[k].astype(np.int32) for s in spans] for k in range(2))
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())),
-                    pa.array([s.astype(np.int32) for s, _ in spans], pa.list_(pa.int32())), pa.array([e.astype(np.int32) for _, e in spans], pa.list_(pa.int32())),
+                    pa.array(begins, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())),
                 ],
                 ["doc_id", "ids", "begins", "ends"],
             )
@@ -250,11 +252,10 @@ def digest(docs: DataFrame, model: bytes) -> DataFrame:
         codec = _codec(shared.value)
         for b in batches:
             rows = []
-            texts = b.column(1).to_pylist()
-            for text, raw in zip(texts, codec.encode(texts), strict=True):
+            for raw, *where in codec.encode(b.column(1).to_pylist()):
                 ids = np.frombuffer(raw, dtype="<u4")
-                begins, ends = codec.spans(text.encode(), ids)
-                rows.append((len(ids), sha(raw), sha(codec.decode(ids).encode()), sha(begins.astype("<u4").tobytes() + ends.astype("<u4").tobytes())))
+                spans = codec.spans(*where, ids)
+                rows.append((len(ids), sha(raw), sha(codec.decode(ids).encode()), spans and sha(b"".join(x.astype("<u4").tobytes() for x in spans))))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *[pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string(), pa.string()))]],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"],

@@ -53,25 +53,75 @@ def test_empty_table(spark):
     assert sc.digest(spark.createDataFrame([], "doc_id long, text string"), sc.load_model(MODEL)).count() == 0
 
 
-def test_character_map_takes_the_longest_prefix_and_keeps_sources():
-    normalizer = getattr(sentencepiece, "SentencePieceNormalizer", None)
-    if normalizer is None:
-        pytest.skip("this library builds no normaliser")
-    from sentencepiece import sentencepiece_model_pb2
-
-    made = normalizer(rule_name="nmt_nfkc", add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=True)
-    spec = sentencepiece_model_pb2.ModelProto.FromString(made.serialized_model_proto()).normalizer_spec
-    own = sc.Normalizer(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
-    for t in ["ﬁne ½ Å ｶﾞ㌔", "  a   b\u3000c\t d  ", "①②", "e\u0301 x", "plain", " ", "\u00ad a"]:
-        normal, source = own(t.encode())
-        assert normal.decode() == made.normalize(t)
-        assert len(source) == len(normal) + 1 and (np.diff(source) >= 0).all() and source[-1] <= len(t.encode())
+def compiled_map(replacements):
+    """A character map for a few strings: a double-array trie, placed greedily, and the replacements behind it."""
+    blob, at = b"", {}
+    for new in dict.fromkeys(replacements.values()):
+        at[new] = len(blob)
+        blob += new.encode() + b"\0"
+    trie: dict = {}
+    for old, new in replacements.items():
+        node = trie
+        for byte in old.encode():
+            node = node.setdefault(byte, {})
+        node[None] = at[new]
+    units, used = [0] * 4096, {0}
+
+    def place(node, here):
+        labels = [0 if x is None else x for x in node]
+        base = next(b for b in range(1, 1 << 20) if all((b ^ x) not in used and (b ^ x) < len(units) for x in labels) and (here ^ b) < 1 << 21)
+        used.update(base ^ x for x in labels)
+        units[here] |= (here ^ base) << 10 | (256 if None in node else 0)
+        for x, child in node.items():
+            if x is None:
+                units[base] = 1 << 31 | child
+            else:
+                units[base ^ x] |= x
+                place(child, base ^ x)
+
+    place(trie, 0)
+    return struct.pack(f"<I{len(units)}I", 4 * len(units), *units) + blob
+
+
+MAP = {"ﬁ": "fi", "½": "1/2", "a": "a", "ab": "X", "abc": "yy", "\u3000": " ", "\u00ad": "", "e\u0301": "é", "\t": " "}
+
+
+@pytest.mark.parametrize("extra", [True, False])
+def test_character_map_takes_the_longest_prefix_and_keeps_sources(extra):
+    own = sc.Normalizer(compiled_map(MAP), True, extra, True)
     normal, source = own("ﬁx".encode())
     assert normal.decode() == "▁fix" and source.tolist() == [0, 0, 0, 0, 0, 3, 4]
+    normal, source = own("abd ab abc ½".encode())
+    assert normal.decode() == "▁Xd▁X▁yy▁1/2" and source[-1] == 13
+    assert source[: len("▁Xd".encode())].tolist() == [0, 0, 0, 0, 2]
+
+
+@pytest.mark.parametrize("extra", [True, False])
+def test_a_model_with_a_map_encodes_as_the_library_does(extra):
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto.FromString(sc.load_model(MODEL))
+    proto.normalizer_spec.precompiled_charsmap = compiled_map(MAP)
+    proto.normalizer_spec.remove_extra_whitespaces = extra
+    model = proto.SerializeToString()
+    lib, codec = sentencepiece.SentencePieceProcessor(model_proto=model), sc.Codec(model)
+    texts = ["ﬁne ½ abc abd ab", "  a   b\u3000c\t d  ", "①②", "e\u0301 x", "plain text", " ", "\u00ad a", "", "a\u3000\u3000 ", "▁x ▁", "ab" * 500]
+    for text, (raw, length, source) in zip(texts, codec.encode(texts), strict=True):
+        ids = np.frombuffer(raw, dtype="<u4")
+        assert ids.tolist() == lib.encode(text, add_bos=True, add_eos=True), text
+        begins, ends = codec.spans(length, source, ids)
+        assert (begins <= ends).all() and (np.diff(begins) >= 0).all() and ends.max() <= len(text.encode())
+        normal, _ = codec.normalize(text.encode())
+        assert normal.decode() == lib.normalize(text)
+
+
+def test_pieces_that_do_not_add_up_give_no_spans():
+    codec = sc.Codec(sc.load_model(MODEL))
+    assert codec.spans(99, np.zeros(1, dtype=np.int64), np.array([1, 2])) is None
 
 
 def test_forgetting_units_changes_nothing(lib, monkeypatch):
     monkeypatch.setattr(sc, "REMEMBERED", 3)
     codec = sc.Codec(sc.load_model(MODEL))
     for t in ["one two three four five", "six seven one two", "two " * 50 + "y" * 100]:
-        assert np.frombuffer(codec.encode([t])[0], dtype="<u4").tolist() == lib.encode(t, add_bos=True, add_eos=True)
+        assert np.frombuffer(codec.encode([t])[0][0], dtype="<u4").tolist() == lib.encode(t, add_bos=True, add_eos=True)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -300,11 +301,47 @@ def test_language_edges(spark):
 
 
 def test_trigram_bundle_equals_binding_position_by_position():
-    p = language_id.profiles()
-    ids, counts = p.trigrams("Ab, ab!")
-    c = [0, 1, 2, 0, 1, 2, 0]
-    want = sum(np.roll(p.third[a], 2).astype(int) * np.roll(p.third[b], 1) * p.third[d] for a, b, d in zip(c, c[1:], c[2:]))
+    p = language_id.Profiles()
+    ids, counts = p.trigrams("Aж, aж!")
+    c = [0, ord("a"), ord("ж"), 0, ord("a"), ord("ж"), 0]
+    want = sum(np.roll(p.letter(a), 2).astype(int) * np.roll(p.letter(b), 1) * p.letter(d) for a, b, d in zip(c, c[1:], c[2:]))
     assert (p.bundle(ids, counts) == want).all()
+    letters = [p.letter(ord(x)) for x in "aжλ漢語я"]
+    assert all(abs(int(x.astype(int) @ y)) < 150 for i, x in enumerate(letters) for y in letters[:i])
+
+
+def test_language_predictions_equal_a_plain_version(spark, monkeypatch):
+    rng = random.Random(41)
+    scripts = {"el": "αβγδεζηθ", "ru": "абвгдежз", "zh": "漢語文字学習", "en": "abcdefgh", "xx": "abcdefgh"}
+    rows = []
+    for i in range(120):
+        lang = rng.choice(list(scripts))
+        rows.append((i, " ".join("".join(rng.choice(scripts[lang][: 4 if lang == "en" else 8]) for _ in range(rng.randint(1, 7))) for _ in range(30)), lang if i % 9 else None))
+    rows += [(200, None, "el"), (201, "12 !", "el"), (None, "абв", "yy")]
+    p, sums = language_id.Profiles(), {}
+
+    def bundle(text):
+        c = [0]
+        for x in (text or "").lower():
+            k = ord(x) if x.isalpha() else 0
+            if k or c[-1]:
+                c.append(k)
+        c += [0] if c[-1] else []
+        if len(c) < 3:
+            return None
+        return sum(np.roll(p.letter(a), 2).astype(int) * np.roll(p.letter(b), 1) * p.letter(d) for a, b, d in zip(c, c[1:], c[2:]))
+
+    for d, t, lang in rows:
+        if d is not None and lang and zlib.crc32(str(d).encode()) % 5 and (v := bundle(t)) is not None:
+            sums[lang] = sums.get(lang, 0) + v
+    monkeypatch.setattr(language_id, "REMEMBERED", 5000)
+    got = {r.doc_id: r for r in language_id.identify(docs(spark, rows).repartition(3)).collect()}
+    for d, t, _ in rows:
+        v = bundle(t)
+        cos = {x: float(v @ s) / math.sqrt(float(v @ v) * float(s @ s)) for x, s in sums.items()} if v is not None else {}
+        assert got[d].lang_pred == (max(sorted(cos), key=cos.get) if cos else "und")
+        assert got[d].score == pytest.approx(max(0.0, *cos.values()) if cos else 0.0, abs=1e-4)
+        assert got[d].held_out == (d is not None and zlib.crc32(str(d).encode()) % 5 == 0)
 
 
 # Sentence spans
