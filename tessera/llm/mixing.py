@@ -5,10 +5,12 @@ sums of the ranges and the order within a range give exact prefix sums, and a so
 where its word budget ends; budgets beyond a source's size repeat it in whole epochs.
 
 A source of any size spreads over RANGES ranges, so no task holds a whole source. Keys
-depend on the id alone, so reruns agree. Rows that repeat an id are ordered by size.
+depend on the id alone, so reruns agree. Rows that repeat an id are ordered by size, so they take
+the same numbers of words in every run; in the mix itself they go by all their columns.
 
 Null text has size 0, null source is a source of its own and the last. Documents of size 0
-take nothing. With no words at all, all targets are 0. Only doc_id, source and text are read.
+take nothing. With no words at all, all targets are 0. Texts of any length are taken whole. Only doc_id, source and text are
+read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, text_or_empty, written
+from tessera.llm.common import WORD, ids_repeat, long_id, text_or_empty, written
 
 #: Key ranges a source is cut into: the first three hex digits of the key.
 RANGES = 16**3
@@ -35,7 +37,7 @@ def targets(sizes: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
     Targets share the total by weight but stop at ``cap`` times the source's size. Resharing
     the excess until none is above ends at a level L with target = min(cap * size, L * weight):
     in order of cap * size / weight, L is the first level that the next source doesn't fall short of.
-    The windows run over one row a source.
+    The windows run over one row a source, in one task.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")).alias("rank")
@@ -61,33 +63,43 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, seed:
     document's part of the last epoch, which ends exactly at the budget (the target's whole words).
     """
     sizes = written(docs.select("doc_id", "source", word_count().alias("size")), "mix-sizes")
+    return _takings(sizes, weights, cap, seed).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def _takings(sizes: DataFrame, weights: Sequence[int], cap: int, seed: str) -> DataFrame:
+    """``sizes`` (doc_id, source, size, and more, by which rows of equal id and size are ordered) with source_size, target and taken."""
+    more = [c for c in sizes.columns if c not in ("doc_id", "source", "size")]
     goals = written(targets(sizes, weights, cap), "mix-targets")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     rows = sizes.join(goals.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     rows = rows.withColumn("key", key).withColumn("range", F.substring("key", 1, 3))
-    ranges = sizes.join(goals.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")))
-    ranges = ranges.groupBy("rank", F.substring(key, 1, 3).alias("range")).agg(F.sum("size").alias("in_range"))
+    ranges = rows.groupBy("rank", "range").agg(F.sum("size").alias("in_range"))
     earlier = Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("rank", "range", F.coalesce(F.sum("in_range").over(earlier), F.lit(0)).alias("before_range"))
-    within = Window.partitionBy("rank", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("rank", "range").orderBy("key", "doc_id", "size", *more).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(ranges, ["rank", "range"])
-    budget = F.floor("target").cast("bigint")
-    whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("bigint")
-    rows = rows.withColumn("epochs", whole).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
-    part = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), F.col("rest") - F.col("before_range") - F.col("before")))
-    taken = (F.col("epochs") * F.col("size") + part).alias("taken")
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken)
+    rows = rows.withColumn("budget", F.floor("target").cast("bigint"))
+    rows = rows.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(0).cast("bigint"))
+    rest = F.col("budget") - F.col("epochs") * F.col("source_size")
+    part = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), rest - F.col("before_range") - F.col("before")))
+    return rows.withColumn("taken", F.col("epochs") * F.col("size") + part)
 
 
 def mixed(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, seed: str = "mix") -> DataFrame:
     """The mix itself, with all columns of ``docs``: a row an epoch for each document.
 
-    A document that the budget cuts gives its first words in its last row. ``docs`` needs
-    ids that are unique; rows that share an id share the takings of the first of them.
+    A document that the budget cuts gives its first words in its last row, and its n_chars follows. Where ids repeat, rows are numbered in
+    the order of their ids and of a hash of all their columns, so reruns agree.
     """
-    plan = mix(docs, weights, cap, seed).groupBy(F.col("doc_id").alias("__id")).agg(F.first("taken").alias("__taken"), F.first("size").alias("__size"))
-    rows = docs.join(plan.filter("__taken > 0"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    copies = F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))
+    numbered = docs.withColumn("__row", long_id())
+    if ids_repeat(docs):
+        every = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256)
+        numbered = docs.withColumn("__sha", every).orderBy(long_id(), "__sha").drop("__sha")
+        numbered = written(numbered.withColumn("__row", F.monotonically_increasing_id()), "numbered-documents")
+    sizes = written(numbered.select("doc_id", "source", word_count().alias("size"), "__row"), "mix-sizes")
+    plan = _takings(sizes, weights, cap, seed).filter("taken > 0")
+    rows = numbered.join(plan.select("__row", F.col("taken").alias("__taken"), F.col("size").alias("__size")), "__row")
+    copies = F.sequence(F.lit(1), F.expr("cast((__taken + __size - 1) div __size AS int)"))
     rows = rows.withColumn("__copy", F.explode(copies))
     left = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
     pieces = F.regexp_extract_all(F.col("text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
@@ -95,7 +107,7 @@ def mixed(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, see
     rows = rows.withColumn("text", F.when(left >= F.col("__size"), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(left >= F.col("__size"), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 MIX_SQL = """

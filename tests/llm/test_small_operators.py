@@ -277,6 +277,20 @@ def test_mixed_rows_hold_the_words_taken(spark):
     assert words == {d: t for d, t in taken.items() if t}
 
 
+def test_mixed_goes_by_row_where_ids_repeat_and_reruns_agree(spark):
+    long = "word " * 40_000
+    rows = [(7, "a b c", None, "s"), (7, "d e f g h i", None, "s"), (7, None, None, "s"), (None, "j k", None, "t"), (None, "l", None, None), (1, long, None, "t"), (7, "a b c", None, "s"), (8, "", None, "u")]
+    df = docs(spark, rows)
+    runs = [sorted(map(tuple, mixing.mixed(df.repartition(n)).collect()), key=repr) for n in (1, 4)]
+    assert runs[0] == runs[1]
+    plan = mixing.mix(df).collect()
+    for s in ("s", "t", None):
+        assert sum(len(r[1].split()) for r in runs[0] if r[3] == s) == sum(r.taken for r in plan if r.source == s)
+    assert mixing.mixed(df.filter("false")).count() == 0
+    clash = df.select("*", *[F.lit("c").alias(c) for c in ("row", "key", "range", "rank", "taken", "target")])
+    assert mixing.mixed(clash).columns == clash.columns
+
+
 # Language identification
 
 
