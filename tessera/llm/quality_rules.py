@@ -6,7 +6,7 @@ rule alone costs, is bitwise arithmetic over the ledger and never reads a text a
 
 Null text has no words, no lines and no symbols, and so fails ``few_words``. Texts of any length
 are taken whole and stay within their row: nothing is shuffled. Repeated rows get a row each.
-Columns of the input besides doc_id and text are ignored, so their names can't clash.
+Columns of the input besides doc_id and text are ignored, so their names can't clash. An empty table gives an empty result.
 
 Three-word windows are compared by the 64-bit hash of their words; two different windows of one
 text share a hash with a probability of about n**2 / 2**65.
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD, text_or_empty
 
+#: What n_symbols counts, and what stands between words.
+SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\f\r"
 #: Rules by bit: name and the condition under which a document fails, over the measurements.
 RULES: dict[str, str] = {
     "few_words": "n_words < 50",
@@ -59,8 +61,8 @@ def measure(docs: DataFrame, *carry: str) -> DataFrame:
         *carry,
         "words",
         F.size("words").cast("bigint").alias("n_words"),
-        (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("bigint").alias("n_symbols"),
-        F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("bigint").alias("word_chars"),
+        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.length(F.translate(text, BLANKS, "")).cast("bigint").alias("word_chars"),
         lines.alias("lines"),
     )
     windows = F.expr("transform(slice(words, 1, greatest(size(words) - 2, 0)), (w, i) -> xxhash64(w, words[i + 1], words[i + 2]))")
@@ -153,3 +155,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
          + (CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars > 15 * n_words THEN 32 ELSE 0 END) AS BIGINT) AS fail_bits
 FROM m
 """
+
+ABLATION_SQL = f"""
+WITH q AS ({QUALITY_SQL}),
+h AS (SELECT fail_bits & {mask("v1")} AS hit FROM q),
+r(rule, bit) AS (VALUES {", ".join(f"('{rule}', {bit(rule)})" for rule in POLICIES["v1"])})
+SELECT rule, count(*) FILTER (hit & bit <> 0) AS failed, count(*) FILTER (hit = bit) AS failed_alone, count(*) FILTER (hit = 0) AS kept,
+       count(*) FILTER (hit = 0 OR hit = bit) AS kept_without
+FROM h, r GROUP BY rule
+"""

@@ -45,6 +45,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 costs over all documents."""
+    return quality_rules.ablation(quality_rules.ledger(read(spark, sf_dir, "documents")), "v1")
+
+
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without sentences of repeated spans."""
     return sentence_spans.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -99,11 +104,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_sentencepiece": op10_sentencepiece,
     "pipeline": pipeline,
+    "quality_ablation": quality_ablation,
 }
 
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": chat_format.CHAT_SQL,
     "op3_quality_rules": quality_rules.QUALITY_SQL,
+    "quality_ablation": quality_rules.ABLATION_SQL,
     "op4_sentence_spans": sentence_spans.SPANS_SQL,
     "op5_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
