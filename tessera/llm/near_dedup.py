@@ -14,7 +14,8 @@ Documents of equal words are one text, and only its first row takes part. Candid
 leaves out pairs that the rounds before have put into one component:
 
 1. every text with the first text of each of its buckets;
-2. every text with the last text of each of its buckets. So all pairs of buckets of up to three are verified;
+2. every text with the last text of each of its buckets, so that all pairs of buckets of up to three are verified, and in larger
+   buckets also with the texts next to it in a random order, which joins most of a crowd;
 3. texts of larger buckets, and all texts of up to SHORT shingles, by an exact prefix join: each keeps its
    rarest shingles, as many as two texts at THRESHOLD can't all have apart, and every two texts that share one and
    fit each other in length are verified. So nothing is lost where a bucket was too large to pair all of it,
@@ -51,8 +52,10 @@ SHINGLE, THRESHOLD = 5, 0.8
 SKETCHES, TUPLE = 40, 5
 #: Texts of so many shingles at most always take part in the exact join.
 SHORT = 30
+#: Rarer shingles of its text that a row of the exact join carries, to tell pairs that have met already.
+EARLIER = 32
 #: Slots of the shingle counts that order shingles by rarity. Collisions change the order, never the pairs.
-RARITY = 1 << 20
+RARITY = 1 << 18
 _MULTIPLIERS = np.random.default_rng(6).integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PARITIES = [f"s{i}" for i in range(8)]
 _words = re.compile(WORD).findall
@@ -176,17 +179,39 @@ def sketches(rows: DataFrame) -> DataFrame:
     return arrow_map(rows.select("row", "id", "sha", "text"), run, "row long, id long, sha string, w1 long, w2 long, sketches array<long>, short boolean")
 
 
-def meetings(texts: DataFrame) -> DataFrame:
-    """id, low and high (first and last text of a bucket it is in), crowded (more than three are in it), for each bucket of two or more."""
+def meetings(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For each bucket of two or more: id, low and high (first and last text of a bucket it is in), crowded (more than three are in it); and pairs of neighbours."""
     rows = texts.select("id", F.explode("sketches").alias("key"))
     ends = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"))
     # Written, as adaptive execution splits a skewed join only where both sides come straight from a shuffle.
     ends = written(ends.filter("low < high"), "bucket-ends")
-    return written(rows.join(ends, "key").select("id", "low", "high", (F.col("n") > 3).alias("crowded")).distinct(), "meetings")
+    met = written(rows.join(ends, "key").select("id", "low", "high", (F.col("n") > 3).alias("crowded")).distinct(), "meetings")
+    crowds = rows.join(ends.filter("n > 3").select("key"), "key")
+    return met, neighbours(crowds)
+
+
+def neighbours(rows: DataFrame) -> DataFrame:
+    """Pairs of ids next to each other in a random order of their bucket, of (id, key); a bucket of any size is cut where ranges end."""
+    order = F.xxhash64("id", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.zeros((0, 2), dtype=np.int64)
+        for b in batches:
+            both = np.concatenate([last, np.stack([b.column(i).to_numpy() for i in range(2)], axis=1)])
+            same = (both[1:, 1] == both[:-1, 1]) & (both[1:, 0] != both[:-1, 0])
+            x, y = both[:-1, 0][same], both[1:, 0][same]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            last = both[-1:]
+
+    dealt = rows.select("id", "key").repartitionByRange("key", order).sortWithinPartitions("key", order)
+    return arrow_map(dealt, run, "a long, b long").distinct()
 
 
 def shingles_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, shingles, and their parity bits s0 to s7, of the rows named in ``ids``; whole texts are shuffled here and nowhere else."""
+    """id, shingles, and their parity bits s0 to s7, of the rows named in ``ids``; whole texts are shuffled here and nowhere else.
+
+    ``ids`` grows with the rows, so it is merged and never broadcast.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,7 +220,7 @@ def shingles_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
             columns = [pa.array(c) for c in np.array(odd, dtype=np.int64).reshape(-1, 8).T]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), *columns], ["id", "shingles", *_PARITIES])
 
-    texts = rows.select(F.col("row").alias("id"), "text").join(ids, "id")
+    texts = rows.select(F.col("row").alias("id"), "text").join(ids.hint("merge"), "id")
     return written(arrow_map(texts, run, "id long, shingles array<long>, " + ", ".join(f"{c} long" for c in _PARITIES)), "shingles")
 
 
@@ -207,12 +232,13 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _rarities(shingled: DataFrame) -> np.ndarray:
-    """How many shingles fall into each of RARITY slots."""
+    """How many labelled shingles fall into each of RARITY slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(RARITY, dtype=np.int64)
         for b in batches:
-            counts += np.bincount((b.column(1).flatten().to_numpy().view(np.uint64) % np.uint64(RARITY)).astype(np.int64), minlength=RARITY)
+            own = [labelled(np.asarray(x.values, dtype=np.int64).view(np.uint64)) for x in b.column(1)]
+            counts += np.bincount((np.concatenate(own) % np.uint64(RARITY)).astype(np.int64), minlength=RARITY)
         slots = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(counts[slots], pa.int64())], ["slot", "n"])
 
@@ -223,13 +249,13 @@ def _rarities(shingled: DataFrame) -> np.ndarray:
 
 
 def _rarest(shingled: DataFrame, threshold: float) -> DataFrame:
-    """id, label, n (shingles of the text), key (a shingle of its prefix), most (shingles of the longest text it can meet there)."""
+    """id, label, n (shingles of the text), key (a shingle of its prefix), most (shingles of the longest text it can meet there), earlier (up to EARLIER rarer shingles)."""
     counts = shingled.sparkSession.sparkContext.broadcast(_rarities(shingled.select("id", "shingles")))
     share = threshold / (1 + threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, labels, sizes, keys, most = [], [], [], [], []
+            ids, labels, sizes, keys, most, earlier = [], [], [], [], [], []
             for i, label, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 own = labelled(np.asarray(found.values, dtype=np.int64).view(np.uint64)).view(np.int64)
                 n = len(own)
@@ -242,10 +268,12 @@ def _rarest(shingled: DataFrame, threshold: float) -> DataFrame:
                 sizes.append(np.full(len(left), n, dtype=np.int64))
                 keys.append(own[order[: len(left)]])
                 most.append(np.floor(left / share - n + 1e-6).astype(np.int64))
+                earlier += [keys[-1][: min(i, EARLIER)] for i in range(len(left))]
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, labels, sizes, keys, most)], ["id", "label", "n", "key", "most"])
+                columns = [pa.array(np.concatenate(c)) for c in (ids, labels, sizes, keys, most)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(earlier, pa.list_(pa.int64()))], ["id", "label", "n", "key", "most", "earlier"])
 
-    return arrow_map(shingled.select("id", "label", "shingles"), run, "id long, label long, n long, key long, most long")
+    return arrow_map(shingled.select("id", "label", "shingles"), run, "id long, label long, n long, key long, most long, earlier array<long>")
 
 
 def exact_candidates(texts: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -255,7 +283,8 @@ def exact_candidates(texts: DataFrame, labels: DataFrame, threshold: float = THR
     min(n - i, m - j) >= threshold / (1 + threshold) * (n + m). At most one of the two can lie behind the
     place where texts of equal length still meet, so one side of the join is always ahead of it; and as
     the label with most rows of a shingle doesn't meet itself, one side always has another label. Parity bits of
-    two texts differ in no more places than the texts have shingles apart, so too many drop a pair safely.
+    two texts differ in no more places than the texts have shingles apart, so too many drop a pair safely. A pair
+    that has met at a rarer shingle, as far as the rows tell, is not made again.
     """
     named = texts.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "shingles")
     rows = written(_rarest(named, threshold).withColumn("ahead", F.col("most") >= F.col("n")), "rarest")
@@ -267,7 +296,8 @@ def exact_candidates(texts: DataFrame, labels: DataFrame, threshold: float = THR
     other = rows.select("key", *[F.col(c).alias(f"{c}2") for c in rows.columns if c != "key"])
     differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}2"))) for i in range(8)), F.lit(0))
     alike = (F.col("n") + F.col("n2")) * (1 - 2 * threshold / (1 + threshold)) + 1e-6 >= differ
-    fits = alike & (F.col("label") != F.col("label2")) & (F.col("n2") <= F.col("most")) & (F.col("n") <= F.col("most2"))
+    met = F.arrays_overlap("earlier", "earlier2")
+    fits = alike & ~met & (F.col("label") != F.col("label2")) & (F.col("n2") <= F.col("most")) & (F.col("n") <= F.col("most2"))
     ends = F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")
     found = []
     for left, right in ((rows.filter("minor AND ahead"), other), (rows.filter("minor AND NOT ahead"), other.filter("NOT minor2 AND ahead2"))):
@@ -326,14 +356,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     same = written(rows.groupBy("w1", "w2").agg(F.min("row").alias("id")), "texts")
     own = rows.filter("sketches IS NOT NULL").select("w1", "w2", "row", "sketches", "short").join(same, ["w1", "w2"]).filter("row = id")
     texts = written(own.select("id", "sketches", "short").dropDuplicates(["id"]), "distinct-texts")
-    met = meetings(texts)
+    met, near = meetings(texts)
     low = written(met.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     high = met.filter("id <> low AND id <> high").select(F.col("id").alias("a"), F.col("high").alias("b")).distinct()
     doubtful = written(met.filter("crowded").select("id").unionByName(texts.filter("short").select("id")).distinct(), "doubtful")
     shingled = shingles_of(source, met.select("id").unionByName(doubtful).distinct())
 
     found = links(shingled, low, threshold)
-    found = found.unionByName(links(shingled, written(apart(high, components(found, rounds=1)), "pairs"), threshold))
+    more = apart(high.unionByName(near).distinct(), components(found, rounds=1))
+    found = found.unionByName(links(shingled, written(more, "pairs"), threshold))
     labels = components(found)
     exact = links(shingled, exact_candidates(shingled.join(doubtful, "id"), labels, threshold), threshold)
     if not exact.isEmpty():
