@@ -1,7 +1,8 @@
-"""Interactive shell and batch runner: ``python -m tessera.cli [FOLDER QUERY_FILE]``."""
+"""Interactive shell and batch runner: ``python -m tessera.cli [FOLDER QUERY_FILE [--single-file]]``."""
 
 from __future__ import annotations
 
+import re
 import sys
 from pathlib import Path
 
@@ -17,20 +18,18 @@ HELP = """.load FILE     register a CSV file under its stem
 A statement ends with a semicolon and may span lines."""
 
 
+#: What a semicolon inside doesn't end: literals, quoted names and comments, open ones included.
+_WHOLE = re.compile(r"""'(?:\\.|[^'\\])*(?:'|\Z)|"(?:\\.|[^"\\])*(?:"|\Z)|`[^`]*(?:`|\Z)|--[^\n]*|/\*.*?(?:\*/|\Z)|;""", re.S)
+
+
 def split_statements(text: str) -> tuple[list[str], str]:
-    """Statements ended by a semicolon outside quotes, and the unfinished rest."""
-    done, current, quote = [], [], ""
-    for ch in text:
-        if quote:
-            quote = "" if ch == quote else quote
-        elif ch in "'\"`":
-            quote = ch
-        elif ch == ";":
-            done.append("".join(current).strip())
-            current = []
-            continue
-        current.append(ch)
-    return [s for s in done if s], "".join(current).strip()
+    """Statements ended by a semicolon outside quotes and comments, and the unfinished rest."""
+    done, start = [], 0
+    for m in _WHOLE.finditer(text):
+        if m[0] == ";":
+            done.append(text[start : m.start()].strip())
+            start = m.end()
+    return [s for s in done if s], text[start:].strip()
 
 
 class Shell:
@@ -68,10 +67,11 @@ class Shell:
             return [f"error: {str(error).splitlines()[0]}"]
 
 
-def run_batch(engine: Engine, folder: str, query_file: str, out_dir: str = ".") -> list[Path]:
+def run_batch(engine: Engine, folder: str, query_file: str, out_dir: str = ".", single_file: bool = False) -> list[Path]:
     """Load a folder of CSV files, run each statement of a file, write ``<stem>_<n>.csv`` each.
 
-    A last statement without semicolon is an error, as are failing statements.
+    Each result is a folder of part files that tasks write in parallel; ``single_file`` streams it through the
+    driver into one local file instead. A last statement without semicolon is an error, as are failing statements.
     """
     engine.load_folder(folder)
     statements, rest = split_statements(Path(query_file).read_text(encoding="utf-8"))
@@ -80,7 +80,7 @@ def run_batch(engine: Engine, folder: str, query_file: str, out_dir: str = ".")
     written = []
     for n, statement in enumerate(statements, 1):
         target = Path(out_dir) / f"{Path(query_file).stem}_{n}.csv"
-        write_result(engine.sql(statement), str(target), single_file=True)
+        write_result(engine.sql(statement), str(target), single_file)
         written.append(target)
     return written
 
@@ -88,9 +88,11 @@ def run_batch(engine: Engine, folder: str, query_file: str, out_dir: str = ".")
 def main(argv: list[str] | None = None) -> int:
     args = sys.argv[1:] if argv is None else argv
     engine = Engine(get_session("tessera-cli"))
+    single = "--single-file" in args
+    args = [a for a in args if a != "--single-file"]
     if len(args) == 2:
         try:
-            for path in run_batch(engine, *args):
+            for path in run_batch(engine, *args, single_file=single):
                 print(path)
             return 0
         except Exception as error:

@@ -10,7 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.operators import derived
 from tessera.sources import read_csv, register_tables
 
-_COMMENT = re.compile(r"--[^\n]*|/\*.*?\*/", re.S)
+#: A quoted literal or name, or a comment; only comments are blanked, and only to look at the statement's first words.
+_TOKEN = re.compile(r"""('(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|`[^`]*`)|--[^\n]*|/\*.*?\*/""", re.S)
+
+
+def _without_end(text: str) -> str:
+    """The statement without a semicolon that stands outside literals and comments."""
+    ends = [m.start() for m in re.finditer(_TOKEN.pattern + "|;", text, re.S) if m[0] == ";"]
+    return text[: ends[0]] if ends else text
 
 
 class Engine:
@@ -73,14 +80,14 @@ class Engine:
         single row that a global aggregate gives over no input rows: the statement's own
         rows are kept only if its input has any, so use it for ungrouped aggregates alone.
         """
-        bare = _COMMENT.sub(" ", text).strip().rstrip(";").strip()
+        bare = _TOKEN.sub(lambda m: "''" if m[1] else " ", text).strip().rstrip(";").strip()
         if not re.match(r"(?i)(select|with)\b", bare):
             raise ValueError("only SELECT statements are supported")
-        df = self.spark.sql(bare)
+        if empty_agg not in ("row", "no_row"):
+            raise ValueError("empty_agg must be 'row' or 'no_row'")
+        df = self.spark.sql(text)
         if empty_agg == "no_row":
             if re.search(r"(?i)\bhaving\b|\bgroup\s+by\b|\border\s+by\b", bare):
                 raise ValueError("empty_agg='no_row' is for plain ungrouped aggregates")
-            df = self.spark.sql(f"{bare} HAVING COUNT(*) > 0")
-        elif empty_agg != "row":
-            raise ValueError("empty_agg must be 'row' or 'no_row'")
+            df = self.spark.sql(f"{_without_end(text)}\nHAVING COUNT(*) > 0")
         return derived(df)

@@ -1,6 +1,7 @@
 """Comparison predicates as Catalyst columns.
 
-Nulls follow SQL: a comparison with null is null, and a filter drops the row.
+Nulls follow SQL: a comparison with null is null, and a filter drops the row. Numbers of different types compare as numbers;
+a number or boolean against text is an error, found when the plan is built, not a cast that may fail on some row.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 import operator
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _OPS = {
@@ -26,6 +27,16 @@ def _apply(left: Column, op: str, right: Column, tolerance: float | None) -> Col
     return _OPS[op](left, right)
 
 
+def check_types(df: DataFrame, *columns: str) -> None:
+    """Raise ``ValueError`` if the columns can't be compared: text with numbers or booleans, or numbers with booleans."""
+    text, kinds = ("string", "char", "varchar"), set()
+    for c in columns:
+        kind = df.select(c).dtypes[0][1].partition("(")[0]
+        kinds.add("text" if kind in text else "boolean" if kind == "boolean" else kind if kind.startswith(("timestamp", "date")) else "number")
+    if len(kinds) > 1:
+        raise ValueError(f"can't compare {' with '.join(sorted(kinds))}: {', '.join(columns)}")
+
+
 def compare(column: str | Column, op: str, value, tolerance: float | None = None) -> Column:
     """``column op value``; ``tolerance`` makes (in)equality of doubles approximate.
 

@@ -7,6 +7,8 @@ collects or repartitions.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,11 @@ def theta_join(left: DataFrame, right: DataFrame, *conditions: Column, how: str
     return left.join(right, all_of(*conditions), how)
 
 
+def _aggregate(df: DataFrame, kind: str, column: str | None) -> Column:
+    boolean = column not in (None, "*") and kind.lower() in ("sum", "avg") and df.select(column).dtypes[0][1] == "boolean"
+    return aggregate_column(kind, column, boolean)
+
+
 def global_agg(df: DataFrame, aggregates: dict[str, tuple[str, str | None]], empty: str = "row") -> DataFrame:
     """One row of aggregates: ``{"total": ("sum", "price"), "n": ("count", None)}``.
 
@@ -45,7 +52,7 @@ def global_agg(df: DataFrame, aggregates: dict[str, tuple[str, str | None]], emp
     """
     if empty not in ("row", "no_row"):
         raise ValueError("empty must be 'row' or 'no_row'")
-    columns = [aggregate_column(*spec).alias(name) for name, spec in aggregates.items()]
+    columns = [_aggregate(df, *spec).alias(name) for name, spec in aggregates.items()]
     if empty == "row":
         return df.agg(*columns)
     return df.agg(*columns, F.count(F.lit(1)).alias("__n")).filter("__n > 0").drop("__n")
@@ -54,12 +61,14 @@ def global_agg(df: DataFrame, aggregates: dict[str, tuple[str, str | None]], emp
 def sort_by(df: DataFrame, *keys: str | tuple[str, str], tie_breaker: str | None = None) -> DataFrame:
     """Order by ``"col"`` or ``("col", "desc")``; nulls first ascending, last descending.
 
-    Spark's sort isn't stable: name a unique ``tie_breaker`` where the order of ties matters.
+    Keys are columns: a constant would order nothing and is refused. Spark's sort isn't stable: name a unique ``tie_breaker`` where the order of ties matters.
     """
     pairs = [(k, "asc") if isinstance(k, str) else k for k in keys]
     if tie_breaker:
         pairs.append((tie_breaker, "asc"))
-    for _, way in pairs:
+    for key, way in pairs:
+        if not isinstance(key, str) or key not in df.columns and re.fullmatch(r"\s*(-?[\d.]+|'.*'|\".*\")\s*", key):
+            raise ValueError(f"a sort key must be a column, not {key!r}")
         if way.lower() not in ("asc", "desc"):
             raise ValueError(f"sort direction must be asc or desc, not {way!r}")
     return df.orderBy(*[F.col(c).desc() if way.lower() == "desc" else F.col(c).asc() for c, way in pairs])
@@ -71,7 +80,7 @@ def vs_global_agg(df: DataFrame, column: str, op: str, kind: str, over: str | No
     The aggregate is one row by construction, so broadcasting it is bounded at any scale;
     a global window would send all rows to one task instead.
     """
-    one = df.agg(aggregate_column(kind, over or column).alias("__agg"))
+    one = df.agg(_aggregate(df, kind, over or column).alias("__agg"))
     joined = df.join(F.broadcast(one), compare_columns(F.col(column), op, F.col("__agg")), "inner")
     return joined.drop("__agg")
 
@@ -84,7 +93,10 @@ def derived(df: DataFrame, alias: str | None = None) -> DataFrame:
 def scalar_lookup(outer: DataFrame, inner: DataFrame, outer_key: str, inner_key: str, kind: str, column: str, name: str) -> DataFrame:
     """Correlated scalar aggregate in the select list: aggregate ``inner`` by key, left join.
 
-    The inner side is reduced to one row a key before the join, so no row of ``outer`` multiplies.
+    The inner side is reduced to one row a key before the join, so no row of ``outer`` multiplies. A key without rows gives what SQL
+    gives: 0 for ``count``, null for the others.
     """
-    agg = inner.groupBy(F.col(inner_key).alias("__key")).agg(aggregate_column(kind, column).alias(name))
-    return outer.join(agg, F.col(outer_key) == F.col("__key"), "left").drop("__key")
+    agg = inner.groupBy(F.col(inner_key).alias("__key")).agg(_aggregate(inner, kind, column).alias("__agg"))
+    joined = outer.join(agg, F.col(outer_key) == F.col("__key"), "left")
+    value = F.coalesce("__agg", F.lit(0).cast("bigint")) if kind.lower() == "count" else F.col("__agg")
+    return joined.withColumn(name, value).drop("__key", "__agg")

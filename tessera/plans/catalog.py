@@ -6,6 +6,8 @@ the SQL front door instead.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.engine import Engine
 from tessera.functions import all_of, any_of, compare, compare_columns
 from tessera.operators import derived, global_agg, project, scalar_lookup, sort_by, theta_join, vs_global_agg, where
-from tessera.sources import read_tables
+from tessera.sources import read_csv, read_tables, write_result
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,7 +116,30 @@ _plan("filter_boolean", "customer", "SELECT c_custkey, c_acctbal < 0 AS in_debt
     lambda c: where(project(c, "c_custkey", (F.col("c_acctbal") < 0).alias("in_debt")), compare("in_debt", "=", True))
 )
 
-# Sorts
+_NULLS = "SELECT *, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS credit FROM customer"
+_with_nulls = lambda c: c.withColumn("credit", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")))
+_plan("filter_null_comparison", "customer", f"SELECT c_custkey FROM ({_NULLS}) WHERE credit < 1000 OR credit <> 5000")(
+    lambda c: project(where(_with_nulls(c), any_of(compare("credit", "<", 1000.0), compare("credit", "!=", 5000.0))), "c_custkey")
+)
+_plan(
+    "filter_float_ne_tol",
+    "lineitem",
+    "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT abs(l_discount - CAST(0.05 AS DOUBLE)) < CAST(1e-10 AS DOUBLE)",
+)(lambda l: project(where(l, compare("l_discount", "!=", 0.05, tolerance=1e-10)), "l_orderkey", "l_linenumber"))
+_plan("filter_mixed_numbers", "orders", "SELECT o_orderkey FROM orders WHERE o_custkey < o_totalprice / 100")(
+    lambda o: project(where(o.withColumn("hundredth", F.col("o_totalprice") / 100), compare_columns("o_custkey", "<", "hundredth")), "o_orderkey")
+)
+
+# Sorts. The limited ones are top-k reports, so that the order of nulls and ties decides which rows they have.
+_plan("sort_nulls_first", "customer", f"SELECT c_custkey, credit FROM ({_NULLS}) ORDER BY credit NULLS FIRST, c_custkey LIMIT 200")(
+    lambda c: project(sort_by(_with_nulls(c), "credit", tie_breaker="c_custkey").limit(200), "c_custkey", "credit")
+)
+_plan("sort_nulls_last_desc", "customer", f"SELECT c_custkey, credit FROM ({_NULLS}) ORDER BY credit DESC NULLS LAST, c_custkey LIMIT 1480")(
+    lambda c: project(sort_by(_with_nulls(c), ("credit", "desc"), tie_breaker="c_custkey").limit(1480), "c_custkey", "credit")
+)
+_plan("sort_tie_breaker", "part", "SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 300")(
+    lambda p: project(sort_by(p, ("p_size", "desc"), tie_breaker="p_partkey").limit(300), "p_partkey", "p_size")
+)
 _plan("sort_asc", "part", "SELECT p_partkey, p_size FROM part ORDER BY p_size")(lambda p: project(sort_by(p, "p_size"), "p_partkey", "p_size"))
 _plan("sort_desc_string", "supplier", "SELECT s_suppkey, s_name FROM supplier ORDER BY s_name DESC")(
     lambda s: project(sort_by(s, ("s_name", "desc")), "s_suppkey", "s_name")
@@ -149,6 +174,14 @@ _plan("agg_empty_compat", "orders", "SELECT COUNT(*) AS cnt, MAX(o_totalprice) A
     lambda o: global_agg(where(o, compare("o_totalprice", "<", -1.0)), {"cnt": ("count", None), "mx": ("max", "o_totalprice")}, empty="no_row")
 )
 
+_plan(
+    "agg_boolean",
+    "customer",
+    "SELECT CAST(SUM(CAST(c_acctbal < 0 AS INT)) AS DOUBLE) AS debtors, ROUND(AVG(CAST(c_acctbal < 0 AS INT)), 9) AS part FROM customer",
+)(
+    lambda c: _round(global_agg(c.withColumn("debt", F.col("c_acctbal") < 0), {"debtors": ("sum", "debt"), "part": ("avg", "debt")}), part=9)
+)
+
 # Joins
 _plan("join_comma_equi", "customer orders", "SELECT c.c_name, o.o_totalprice FROM customer c, orders o WHERE c.c_custkey = o.o_custkey")(
     lambda c, o: project(theta_join(c.alias("c"), o.alias("o"), compare_columns("c.c_custkey", "=", "o.o_custkey")), "c_name", "o_totalprice")
@@ -296,6 +329,12 @@ _sql(
     "customer orders",
     "SELECT c.c_name, (SELECT COUNT(o.o_orderkey) FROM orders o WHERE o.o_custkey = c.c_custkey) AS n_orders FROM customer c",
 )
+_plan(
+    "scalar_count",
+    "customer orders",
+    "SELECT c.c_custkey, (SELECT COUNT(*) FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000) AS n FROM customer c",
+)(lambda c, o: project(scalar_lookup(c, where(o, compare("o_totalprice", ">", 400000.0)), "c_custkey", "o_custkey", "count", "o_orderkey", "n"), "c_custkey", "n"))
+_sql("literal_comment", "nation", "SELECT n_nationkey, 'a/*b*/c--d' AS note /* a comment; with 'signs' */ FROM nation -- and another")
 _plan(
     "sample_avg_join",
     "customer orders",
@@ -309,3 +348,62 @@ _plan(
         AverageBalance=4,
     )
 )
+
+
+# CSV: tables written as tagged CSV into the warehouse's store and read back
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, else, on a local master, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{shared.rstrip('/')}/csv-{uuid.uuid4().hex}"
+
+
+def _csv(name: str, table: str, tags: dict[str, str], sql: str, lenient: bool = False, **columns: str):
+    """Register a plan over ``table``, which is written as CSV under a tagged header and read by the engine's source."""
+
+    def add(build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = read_tables(spark, sf_dir, [table])[table].withColumns({c: F.expr(e) for c, e in columns.items()})
+            path = _folder(spark)
+            df.select(*[F.col(c).alias(f"{c} {tags[c]}".rstrip()) for c in tags]).write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+            return build(read_csv(spark, path, table, lenient))
+
+        QUERIES[name], ORACLES[name] = run, sql
+        return build
+
+    return add
+
+
+_csv("csv_round_trip", "customer", {"c_custkey": "(N) (P)", "c_name": "(T)", "c_nationkey": "", "c_acctbal": "(N)", "c_mktsegment": ""}, "SELECT * FROM customer")(
+    lambda c: c.select("c_custkey", "c_name", F.col("c_nationkey").cast("int").alias("c_nationkey"), "c_acctbal", "c_mktsegment")
+)
+_csv(
+    "csv_widening", "orders", {"o_orderkey": "(N)", "big": "", "mixed": "", "gaps": "(N)"},
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 3 THEN 99999999999999999999.0::DOUBLE ELSE o_orderkey::DOUBLE END AS big,"
+    " CASE WHEN o_orderkey % 5 = 0 THEN 'x, \"y\"' ELSE CAST(o_custkey AS VARCHAR) END AS mixed, CASE WHEN o_custkey % 3 > 0 THEN o_custkey END AS gaps FROM orders",
+    big="CASE WHEN o_orderkey % 7 = 3 THEN '99999999999999999999' ELSE string(o_orderkey) END",
+    mixed="CASE WHEN o_orderkey % 5 = 0 THEN 'x, \"y\"' ELSE string(o_custkey) END", gaps="CASE WHEN o_custkey % 3 > 0 THEN o_custkey END",
+)(lambda o: o)
+_csv(
+    "csv_lenient", "orders", {"o_orderkey": "(N)", "gaps": "(N)", "named": "(T)"},
+    "SELECT o_orderkey, CASE WHEN o_custkey % 3 > 0 THEN o_custkey ELSE 0 END AS gaps, CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus ELSE '' END AS named FROM orders",
+    lenient=True, gaps="CASE WHEN o_custkey % 3 > 0 THEN o_custkey END", named="CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus END",
+)(lambda o: o)
+
+
+def _result_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as the result sink writes them, read back as text."""
+    path = _folder(spark)
+    write_result(project(read_tables(spark, sf_dir, ["customer"])["customer"].withColumn("debt", F.col("c_acctbal") < 0), "c_custkey", "c_acctbal", "debt"), path)
+    return spark.read.option("header", True).csv(path)
+
+
+QUERIES["result_csv"], ORACLES["result_csv"] = (
+    _result_csv,
+    "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, printf('%.2f', c_acctbal) AS c_acctbal, CASE WHEN c_acctbal < 0 THEN 'TRUE' ELSE 'FALSE' END AS debt FROM customer",
+)

@@ -4,9 +4,9 @@ A header cell is ``name`` with optional tags: ``(P)`` primary key, ``(F)`` forei
 ``(N)`` number, ``(T)`` text, ``(D)`` date-time kept as text; a leading ``#`` marks a
 foreign key whose name ``table_column`` splits at its last underscore.
 
-Types come from the first data row and are widened where later rows disagree
-(BIGINT to DOUBLE to STRING), found by one aggregate over the file rather than by
-collecting it.
+Types come from the first data row (``(N)``: BIGINT to begin with) and are widened where later rows disagree
+(BIGINT to DOUBLE to STRING; integers beyond 64 bits are DOUBLE where a column has only numbers), found by one aggregate over
+those columns whose type isn't settled by a tag, rather than by collecting the file. A declared ``schema`` saves that pass.
 """
 
 from __future__ import annotations
@@ -56,10 +56,10 @@ def _raw(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     )
 
 
-def table_schema(spark: SparkSession, path: str, table: str) -> tuple[list[str], list[str], list[dict]]:
-    """Names, types and metadata of a CSV file; reads the header, the first row and one aggregate.
+def table_schema(spark: SparkSession, path: str, table: str, schema: dict[str, str] | None = None) -> tuple[list[str], list[str], list[dict]]:
+    """Names, types and metadata of a CSV file; reads the header, the first row and one aggregate over columns of open type.
 
-    An empty or header-only file raises ``ValueError``.
+    ``schema`` declares types (bigint, double, boolean, string) by column name. An empty or header-only file raises ``ValueError``.
     """
     head = spark.read.option("quote", '"').option("escape", '"').option("ignoreTrailingWhiteSpace", True).csv(path).limit(2).collect()
     if len(head) < 2:
@@ -67,37 +67,39 @@ def table_schema(spark: SparkSession, path: str, table: str) -> tuple[list[str],
     if any(v is None for v in head[0]):
         raise ValueError(f"{path}: header and first row differ in length")
     names, metas = zip(*[parse_header(str(c), table) for c in head[0]], strict=True)
-    first = [infer_type(v) for v in head[1]]
-    raw = _raw(spark, path, list(names))
+    kinds = []
+    for name, meta, value in zip(names, metas, head[1], strict=True):
+        if name in (schema or {}):
+            if schema[name] not in _DEFAULTS:
+                raise ValueError(f"{path}: column {name} can't have type {schema[name]!r}")
+            kinds.append((schema[name], False))
+        elif "T" in meta["tags"] or "D" in meta["tags"]:
+            kinds.append(("string", False))
+        else:
+            kinds.append(("bigint" if "N" in meta["tags"] else infer_type(value), True))
     fits = []
-    for i in range(len(names)):
+    for i, (kind, free) in enumerate(kinds):
         c = F.col(f"c{i}")
-        for label, pattern in (("i", _INT), ("f", f"{_INT}|{_FLOAT}"), ("b", _BOOL)):
-            fits.append(F.coalesce(F.bool_and(c.isNull() | (c == "") | c.rlike(pattern)), F.lit(True)).alias(f"{label}{i}"))
-    ok = raw.agg(*fits).first()
-    kinds = []
-    for i, kind in enumerate(first):
-        tags = metas[i]["tags"]
-        if "T" in tags or "D" in tags:
-            kind = "string"
-        elif "N" in tags:
-            kind = "double" if ok[f"f{i}"] else "string"
-        elif kind == "bigint" and not ok[f"i{i}"]:
-            kind = "double" if ok[f"f{i}"] else "string"
-        elif kind == "double" and not ok[f"f{i}"] or kind == "boolean" and not ok[f"b{i}"]:
-            kind = "string"
-        kinds.append(kind)
-    return list(names), kinds, list(metas)
-
-
-def read_csv(spark: SparkSession, path: str, table: str, lenient: bool = False) -> DataFrame:
+        blank = c.isNull() | (c == "")
+        if free and kind == "bigint":
+            fits.append(F.bool_and(blank | c.rlike(_INT) & c.try_cast("bigint").isNotNull()).alias(f"bigint{i}"))
+        if free and kind in ("bigint", "double"):
+            fits.append(F.bool_and(blank | c.rlike(f"{_INT}|{_FLOAT}")).alias(f"double{i}"))
+        if free and kind == "boolean":
+            fits.append(F.bool_and(blank | c.rlike(_BOOL)).alias(f"boolean{i}"))
+    ok = _raw(spark, path, list(names)).agg(*fits).first().asDict() if fits else {}
+    wider = {"bigint": ("bigint", "double", "string"), "double": ("double", "string"), "boolean": ("boolean", "string"), "string": ("string",)}
+    return list(names), [next(k for k in wider[kind] if k == "string" or ok[f"{k}{i}"] is not False) if free else kind for i, (kind, free) in enumerate(kinds)], list(metas)
+
+
+def read_csv(spark: SparkSession, path: str, table: str, lenient: bool = False, schema: dict[str, str] | None = None) -> DataFrame:
     """A typed DataFrame of a tagged CSV file.
 
     Empty cells are null; ``lenient`` turns missing and malformed cells into 0, 0.0, false
     or "". A row with too many or too few fields fails the read. Key tags are kept in
     ``df.schema[...].metadata``.
     """
-    names, kinds, metas = table_schema(spark, path, table)
+    names, kinds, metas = table_schema(spark, path, table, schema)
     raw = _raw(spark, path, names)
     columns = []
     for i, (name, kind, meta) in enumerate(zip(names, kinds, metas, strict=True)):

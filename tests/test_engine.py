@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from tessera.cli import Shell, run_batch, split_statements
 from tessera.engine import Engine
-from tessera.functions import all_of, any_of, compare
+from tessera.functions import all_of, any_of, check_types, compare
 from tessera.operators import global_agg, project, sort_by, theta_join, vs_global_agg, where
 from tessera.sources import read_csv, write_result
 from tessera.sources.csv_source import infer_type, parse_header
 
 EMPLOYEES = """Employees_id (N) (P),Name (T),Salary (N),JoinedDate (D)
-1,Alice Johnson,60000.50,2021-01-05 08:00:00
-2,Robert Smith,75000,2020-03-01 08:00:00
-3,Emily Davis,91000.65,2019-07-10 9:15:00
+1,Ada Okoye,60000.50,2021-01-05 08:00:00
+2,Ben Lindqvist,75000,2020-03-01 08:00:00
+3,Chiara Rossi,91000.65,2019-07-10 9:15:00
 """
 ORDERS = """Orders_id (N) (P),#Employees_id (N),TotalAmount (N),OrderDate (D)
 1,1,10.5,2023-01-15 08:45:00
@@ -63,8 +63,8 @@ def test_catalog_and_metadata(spark, folder):
     e = Engine(spark)
     assert e.load_folder(str(folder)) == ["Employees", "SalesOrders"]
     assert e.has_table("Employees") and {"employees", "salesorders"} <= {t.lower() for t in e.tables()}
-    assert e.describe("Employees")[0] == ("Employees_id", "double", "PK")
-    assert e.describe("SalesOrders")[1] == ("Employees_id", "double", "FK -> Employees.id")
+    assert e.describe("Employees")[0] == ("Employees_id", "bigint", "PK")
+    assert e.describe("SalesOrders")[1] == ("Employees_id", "bigint", "FK -> Employees.id")
 
 
 def test_sample_queries(spark, folder):
@@ -75,7 +75,7 @@ def test_sample_queries(spark, folder):
     text = e.sql("SELECT Orders_id FROM SalesOrders WHERE OrderDate > '2023-02-01 00:00:00' ORDER BY TotalAmount")
     assert [r[0] for r in text.collect()] == [3.0, 4.0, 2.0]
     total = e.sql("SELECT e.Name, (SELECT SUM(o.TotalAmount) FROM SalesOrders o WHERE o.Employees_id = e.Employees_id) AS t FROM Employees e ORDER BY t DESC")
-    assert [tuple(r) for r in total.collect()] == [("Alice Johnson", 30.5), ("Emily Davis", 5.25), ("Robert Smith", None)]
+    assert [tuple(r) for r in total.collect()] == [("Ada Okoye", 30.5), ("Chiara Rossi", 5.25), ("Ben Lindqvist", None)]
 
 
 def test_only_select(spark):
@@ -100,9 +100,9 @@ def test_sinks(spark, tmp_path):
 def test_batch_and_shell(spark, folder, tmp_path):
     q = tmp_path / "q.txt"
     q.write_text("SELECT Name FROM Employees\nWHERE Salary > 70000;\nSELECT COUNT(*) AS n FROM SalesOrders;")
-    out = run_batch(Engine(spark), str(folder), str(q), str(tmp_path))
+    out = run_batch(Engine(spark), str(folder), str(q), str(tmp_path), single_file=True)
     assert [p.name for p in out] == ["q_1.csv", "q_2.csv"]
-    assert sorted(r[0] for r in csv.reader(out[0].open())) == ["Emily Davis", "Name", "Robert Smith"]
+    assert sorted(r[0] for r in csv.reader(out[0].open())) == ["Ben Lindqvist", "Chiara Rossi", "Name"]
     q.write_text("SELECT 1")
     with pytest.raises(ValueError, match="semicolon"):
         run_batch(Engine(spark), str(folder), str(q), str(tmp_path))
@@ -110,13 +110,52 @@ def test_batch_and_shell(spark, folder, tmp_path):
     assert shell.feed(f".load {folder}/Employees.csv") == ["loaded Employees"]
     assert shell.feed("SELECT Name") == []
     lines = shell.feed("FROM Employees WHERE Salary > 70000 ORDER BY Name;")
-    assert lines[2].strip() == "Emily Davis" and lines[-1] == "(2 rows)"
+    assert lines[2].strip() == "Ben Lindqvist" and lines[-1] == "(2 rows)"
     assert shell.feed("SELECT nope FROM Employees;")[0].startswith("error")
     assert any("PK" in x for x in shell.feed(".schema Employees"))
     shell.feed(".exit")
     assert shell.done
 
 
+def test_batch_writes_folders_unless_told_otherwise(spark, folder, tmp_path):
+    q = tmp_path / "p.txt"
+    q.write_text("SELECT Name FROM Employees WHERE Salary > 70000;")
+    (out,) = run_batch(Engine(spark), str(folder), str(q), str(tmp_path / "out"))
+    assert out.is_dir() and spark.read.option("header", True).csv(str(out)).count() == 2
+
+
+def test_comments_and_literals_are_told_apart(spark):
+    e = Engine(spark)
+    assert e.sql("/* it's; */ SELECT 'a/*b*/c' AS x, 'a--b' AS y -- end;").first() == ("a/*b*/c", "a--b")
+    assert split_statements("SELECT 1 -- it's; fine\n; SELECT /* ; ' */ 2; rest") == (["SELECT 1 -- it's; fine", "SELECT /* ; ' */ 2"], "rest")
+    spark.createDataFrame([(1,)], "a int").createOrReplaceTempView("one")
+    assert e.sql("SELECT COUNT(*) AS n, ';' AS s FROM one WHERE a > 5; -- end", empty_agg="no_row").count() == 0
+
+
+def test_wide_integers_and_ids_keep_their_digits(spark, tmp_path):
+    p = tmp_path / "n.csv"
+    p.write_text("id (N) (P),big,late (N)\n9007199254740993,1,1\n2,99999999999999999999,\n3,4,2.5\n\n")
+    df = read_csv(spark, str(p), "n")
+    assert df.dtypes == [("id", "bigint"), ("big", "double"), ("late", "double")]
+    assert [tuple(r) for r in df.collect()] == [(9007199254740993, 1.0, 1.0), (2, 1e20, None), (3, 4.0, 2.5)]
+    assert read_csv(spark, str(p), "n", schema={"big": "string", "late": "string"}).dtypes == [("id", "bigint"), ("big", "string"), ("late", "string")]
+    with pytest.raises(ValueError, match="can't have type"):
+        read_csv(spark, str(p), "n", schema={"big": "date"})
+
+
+def test_mixed_types_and_constant_sort_keys_are_refused(spark):
+    df = spark.createDataFrame([(1, 1.5, "a", True)], "i long, d double, s string, b boolean")
+    check_types(df, "i", "d")
+    for pair in (("i", "s"), ("b", "i"), ("b", "s")):
+        with pytest.raises(ValueError, match="can't compare"):
+            check_types(df, *pair)
+    for key in ("1", "'x'", " 2.5 "):
+        with pytest.raises(ValueError, match="sort key"):
+            sort_by(df, key)
+    assert global_agg(df, {"s": ("sum", "b"), "a": ("avg", "b")}).first() == (1.0, 1.0)
+    assert vs_global_agg(df, "d", ">", "avg", over="b").count() == 1
+
+
 def test_split_statements():
     assert split_statements("SELECT ';' AS a; SELECT 2") == (["SELECT ';' AS a"], "SELECT 2")
 
