@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, text_or_empty, written
+from tessera.llm.common import NO_ID, arrow_map, identified, text_or_empty, written
 
 LENGTH = 100
 #: Bytes of an anchor's k-gram.
@@ -52,10 +52,11 @@ OWNED, SORTED = 8 << 20, 128 << 10
 FINE = 16
 #: Bits of the anchor bitmaps: at least, and at most (64 MB).
 LEAST_BITS, MOST_BITS = 20, 29
+#: Segments that a task holds before it keeps the first of each kind.
+HELD = 1 << 20
 #: A text is cut this many window starts at a time; short texts are cut together, up to so many bytes.
 CHUNK, GROUP = 2 << 20, 64 << 10
 
-NO_ID = -(2**63)
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -399,12 +400,17 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     shared = spark.sparkContext.broadcast(repeated)
 
     def send_segments(batches):
-        marked, out = _Bitmap(shared.value, bits), []
+        marked, out, size, limit = _Bitmap(shared.value, bits), [], 0, HELD
         for _, _, doc, at, _, key, whole in _cut_batches(batches, length, gram):
             hit = marked(key)
             e = np.empty(int(hit.sum()), dtype=_ENTRY)
             e["key"], e["hash"], e["doc"], e["at"] = key[hit], whole[hit], doc[hit], at[hit]
             out.append(e)
+            size += len(e)
+            if size > limit:  # reduced on the way, so that a task holds distinct segments and no more
+                out = [_firsts(np.concatenate(out))]
+                size = len(out[0])
+                limit = max(HELD, 2 * size)
         e = _firsts(np.concatenate(out)) if out else np.zeros(0, dtype=_ENTRY)
         yield from _blobs((b, e[s].tobytes()) for b, s in _parts(e["key"], owners))
 
@@ -531,22 +537,9 @@ def _segment_rows(held: dict, later: list, sorters: int) -> Iterator[pa.RecordBa
         )
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    """row, doc_id and text: ``row`` is the id where each id has one text, otherwise a number in the order of id and hash of the text."""
-    text = text_or_empty().cast("binary").alias("text")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("row"), F.col("doc_id").cast("bigint"), text)
-    named = rows.select("row", F.sha2("text", 256).alias("hash"))
-    ends = named.groupBy("row").agg(F.min("hash").alias("low"), F.max("hash").alias("high"))
-    if ends.filter("low <> high").isEmpty():
-        return rows
-    numbers = written(named.distinct().orderBy("row", "hash").withColumn("number", F.monotonically_increasing_id()), "row-numbers")
-    found = rows.withColumn("hash", F.sha2("text", 256)).join(numbers, ["row", "hash"])
-    return written(found.select(F.col("number").alias("row"), "doc_id", "text"), "numbered-texts")
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, ``kept`` (the bytes that stay)."""
-    rows = _identified(docs)
+    rows = identified(docs).select("row", F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), F.col("text").cast("binary").alias("text"))
     found, repeated, bits = marks(rows.select(F.col("row").alias("doc_id"), F.col("text").cast("string")), length, gram, hot)
     shared = docs.sparkSession.sparkContext.broadcast(repeated)
     listed = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("at", "n")).alias("marks"))

@@ -125,3 +125,10 @@ def test_different_texts_of_one_id_have_own_marks(spark):
         got.setdefault((r.doc_id, r.n_bytes), []).append(r.n_removed)
     assert got[1, 200] == [0] and got[5, 501] == [200] and got[5, 50] == [0] and got[5, 400] == [0]
     assert got[None, 40] == [0] and got[9, 200] == [200] and got[None, 200] + got[None, 351] in ([200, 0], [0, 200])
+
+
+def test_a_text_of_one_repeated_byte(spark, monkeypatch):
+    monkeypatch.setattr(sd, "HELD", 1000)
+    rows = [(1, "a" * 200_000), (2, "a" * 150), (3, None), (4, "b" * 99)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (200_000, 199_999, 1), 2: (150, 150, 1), 3: (0, 0, 0), 4: (99, 0, 0)}
