@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import WORD, text_or_empty
 
 #: What n_symbols counts, and what stands between words.
-SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\f\r"
+SYMBOLS, BLANKS = r"[#*$%&|<>]+", r"[\x20\x09-\x0D]+"
 #: Rules by bit: name and the condition under which a document fails, over the measurements.
 RULES: dict[str, str] = {
     "few_words": "n_words < 50",
@@ -61,8 +61,8 @@ def measure(docs: DataFrame, *carry: str) -> DataFrame:
         *carry,
         "words",
         F.size("words").cast("bigint").alias("n_words"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
-        F.length(F.translate(text, BLANKS, "")).cast("bigint").alias("word_chars"),
+        (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.length(F.regexp_replace(text, BLANKS, "")).cast("bigint").alias("word_chars"),
         lines.alias("lines"),
     )
     windows = F.expr("transform(slice(words, 1, greatest(size(words) - 2, 0)), (w, i) -> xxhash64(w, words[i + 1], words[i + 2]))")
