@@ -10,17 +10,18 @@ by content first, and suffixes are sorted where windows can differ:
 1. Segments. Of the k-grams in a window the one with the least hash is its anchor. Consecutive
    windows with one anchor form a segment; equal windows have equal anchors at equal offsets, so
    equal windows always lie in segments of one anchor. There is a segment for about 40 bytes.
-2. Anchors that occur twice. Tasks send sorted anchor hashes to the owner of their range, owners
-   answer with a bitmap of bounded size. A false positive costs work and changes no result.
-3. First segments. Of equal segments only the first can hold a first window. Tasks send one entry
-   for each distinct segment with a marked anchor, owners keep the smallest place, so copies
-   collapse before they travel. Every other segment of the kind is removed as a whole.
-4. Suffix arrays. Anchors with several distinct segments send these segments' bytes to owners, which
-   concatenate them, sort all suffixes to depth LENGTH in two stages and scan adjacent common
-   prefixes: neighbours that share LENGTH bytes are equal windows, and all but the first are removed.
+2. First segments. Tasks send one entry for each distinct segment to the owner of its anchor's range,
+   and owners keep the smallest place. Of equal segments only the first can hold a first window, so
+   every other is a mark: its windows are repeated. Copies collapse in the task before they travel.
+3. Suffix arrays. Anchors with several distinct segments ask the documents for these segments' bytes.
+   Owners concatenate the bytes, sort all suffixes to depth LENGTH in two stages and scan adjacent common
+   prefixes: neighbours that share LENGTH bytes are equal windows, and all but the first are marks.
    Anchors with more than HOT distinct segments are spread by window: each window then goes to the
    owner of its own hash. Both ways are exact.
-5. The marks of each document are joined with its text.
+4. The marks of each document are joined with its text.
+
+Owners are buckets of bounded size; a task sorts its rows by bucket, on disk if need be, and holds one at a time. Nothing of the
+texts reaches the driver but their total size and the number of segments to sort.
 
 Null text counts as empty. A null doc_id comes before all others. Rows that repeat an id
 and its text are one place: neither loses a string to the other's equal offset. Rows of one id, or of
@@ -39,19 +40,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NO_ID, arrow_map, identified, text_or_empty, written
+from tessera.llm.common import NO_ID, arrow_map, identified, written
 
 LENGTH = 100
 #: Bytes of an anchor's k-gram.
 GRAM = 20
 #: Distinct segments of an anchor beyond which its windows are spread one by one.
 HOT = 2048
-#: Text bytes that an owner task gets anchors of, and segment bytes that a suffix array is built of.
+#: Text bytes that a bucket gets anchors of, and segment bytes that a suffix array is built of.
 OWNED, SORTED = 8 << 20, 128 << 10
-#: Suffix arrays that a task builds one after the other.
-FINE = 16
-#: Bits of the anchor bitmaps: at least, and at most (64 MB).
-LEAST_BITS, MOST_BITS = 20, 29
+#: Buckets that a task takes one after the other, and the number of tasks from which on each takes more.
+FINE, MOST_TASKS = 16, 1 << 16
 #: Segments that a task holds before it keeps the first of each kind.
 HELD = 1 << 20
 #: A text is cut this many window starts at a time; short texts are cut together, up to so many bytes.
@@ -161,25 +160,6 @@ def _cut_batches(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
         yield texts, number, ids[number], *rest
 
 
-class _Bitmap:
-    """Which anchors are marked, by the leading bits of their hash."""
-
-    def __init__(self, packed: bytes, bits: int):
-        self.bits, self.packed = bits, np.frombuffer(packed, dtype=np.uint8)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        bit = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        return (self.packed[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
-
-
-def _slice(keys: np.ndarray, bucket: int, owners: int, bits: int) -> bytes:
-    """The owner's part of a bitmap with the given anchors marked."""
-    width = (1 << bits) // owners
-    flags = np.zeros(width, dtype=np.uint8)
-    flags[(keys >> np.uint64(64 - bits)).astype(np.int64) - bucket * width] = 1
-    return np.packbits(flags).tobytes()
-
-
 def _parts(order_key: np.ndarray, owners: int) -> Iterator[tuple[int, slice]]:
     """Runs of a sorted array of hashes by the owner of their range; owners is a power of two."""
     if not len(order_key):
@@ -190,29 +170,65 @@ def _parts(order_key: np.ndarray, owners: int) -> Iterator[tuple[int, slice]]:
         yield int(owner[low]), slice(int(low), int(high))
 
 
-def _blobs(parts: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    for bucket, blob in parts:
-        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "data"])
 
 
-_ENTRY = np.dtype([("key", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("at", "<i8")])
+#: A segment as tasks hold it, and what of it travels to a bucket; bits of the anchor's hash beyond these 32 and the bucket's only save work.
+_ENTRY = np.dtype([("key", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("n", "<i8")])
+_SENT = {"key": "<u4", "hash": "<u8", "doc": "<i8", "at": "<u4", "n": "<u2"}
+#: Entries or marks of a row that travels.
+PACKED = 1 << 15
+
+
+def _pack(e: np.ndarray, owners: int) -> list[bytes]:
+    """The columns of entries of one bucket."""
+    key = (e["key"] << np.uint64(owners.bit_length() - 1)) >> np.uint64(32)
+    return [(key if c == "key" else e[c]).astype(kind).tobytes() for c, kind in _SENT.items()]
+
+
+def _unpack(columns: list[list[bytes]], bucket: int, owners: int) -> np.ndarray:
+    """Entries that came to a bucket."""
+    e = np.empty(sum(map(len, columns[1])) // 8, dtype=_ENTRY)
+    for (c, kind), parts in zip(_SENT.items(), columns, strict=True):
+        e[c] = np.frombuffer(b"".join(parts), dtype=kind)
+    bits = owners.bit_length() - 1
+    e["key"] = (e["key"] << np.uint64(32)) >> np.uint64(bits)
+    if bits:
+        e["key"] |= np.uint64(bucket) << np.uint64(64 - bits)
+    return e
 
 
-def _firsts(e: np.ndarray) -> np.ndarray:
-    """The smallest place of each distinct segment, in order of anchor."""
+def _firsts(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest place of each distinct segment, in order of anchor, and the entries of other places."""
     e = e[np.lexsort((e["at"], e["doc"], e["hash"], e["key"]))]
     new = np.ones(len(e), dtype=bool)
     new[1:] = (e["key"][1:] != e["key"][:-1]) | (e["hash"][1:] != e["hash"][:-1])
-    return e[new]
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    same = (e["doc"] == e["doc"][head]) & (e["at"] == e["at"][head])  # a repeated row's segment is at the first place too
+    return e[new], e[~same]
 
 
-def _held(batches: Iterator[pa.RecordBatch], kind) -> tuple[int, np.ndarray]:
-    """An owner's bucket and all that came for it."""
-    bucket, blobs = 0, []
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Rows sorted by bucket, the first column, one bucket at a time."""
+    now, held = None, []
     for b in batches:
-        buckets, data = b.column(0).to_pylist(), b.column(1).to_pylist()
-        bucket, blobs = buckets[0] if buckets else bucket, blobs + data
-    return bucket, np.frombuffer(b"".join(blobs), dtype=kind)
+        buckets = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(buckets[1:] != buckets[:-1]) + 1).tolist(), len(buckets)]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            if low == high:
+                continue
+            if held and buckets[low] != now:
+                yield now, held
+                held = []
+            now = int(buckets[low])
+            held.append(b.slice(low, high - low))
+    if held:
+        yield now, held
+
+
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows by bucket, a power of two, with neighbouring buckets in one task and sorted there."""
+    tasks = min(max(1, buckets // FINE), MOST_TASKS)
+    return rows.repartitionById(tasks, F.expr(f"bucket div {buckets // tasks}").cast("int")).sortWithinPartitions("bucket")
 
 
 # --- two-stage suffix sorting -------------------------------------------------------------------
@@ -359,139 +375,120 @@ def _power_of_two(x: float) -> int:
     return 1 << max(0, int(np.ceil(np.log2(max(1.0, x)))))
 
 
-def _collect_bitmap(rows: DataFrame, owners: int, bits: int) -> bytes:
-    """Slices of owners put together; at most 2**MOST_BITS bits reach the driver."""
-    width = (1 << bits) // owners // 8
-    out = bytearray(width * owners)
-    for r in rows.select("bucket", "data").collect():
-        out[r.bucket * width : (r.bucket + 1) * width] = r.data
-    return bytes(out)
+def _mark_rows(doc: np.ndarray, at: np.ndarray, n: np.ndarray, key: np.ndarray | None = None, kind: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    zeros = np.zeros(len(doc), dtype=np.int64)
+    columns = {"doc_id": doc, "at": at, "n": n, "key": zeros if key is None else key, "kind": zeros if kind is None else kind}
+    for low in range(0, len(doc), PACKED):
+        yield pa.RecordBatch.from_pydict({c: np.ascontiguousarray(x[low : low + PACKED]).astype(np.int64) for c, x in columns.items()})
 
 
-def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, bytes, int]:
-    """Marks by document, and the bitmap of anchors that occur twice with its number of bits.
+def marks(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """Marks of documents: in document ``doc_id`` the ``n`` windows from ``at`` on are repeated.
 
-    A mark (doc_id, at, n) with n = 0 names a first segment, which stays but for other marks;
-    otherwise n windows from ``at`` on are repeated.
+    ``rows`` has doc_id, not null, and the text as binary.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("bigint"), text_or_empty().cast("binary").alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    if length - gram >= 1 << 16:
+        raise ValueError("an anchor may lie at most 65535 bytes behind its window's start")
+    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     owners = _power_of_two(total / OWNED)
-    bits = int(np.clip(np.ceil(np.log2(max(1, total / 8))), LEAST_BITS, MOST_BITS))
-    bits = max(bits, owners.bit_length() + 3)
-
-    def send_anchors(batches):
-        keys = [key for *_, key, _ in _cut_batches(batches, length, gram)]
-        keys = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-        third = np.zeros(len(keys), dtype=bool)
-        third[2:] = keys[2:] == keys[:-2]  # two of a kind say as much as more
-        keys = keys[~third]
-        yield from _blobs((b, keys[s].tobytes()) for b, s in _parts(keys, owners))
-
-    def twice(batches):
-        bucket, keys = _held(batches, "<u8")
-        keys = np.sort(keys)
-        yield from _blobs([(bucket, _slice(keys[1:][keys[1:] == keys[:-1]], bucket, owners, bits))] if len(keys) else [])
-
-    blob = "bucket int, data binary"
-    sent = arrow_map(rows, send_anchors, blob).repartitionById(owners, F.col("bucket"))
-    repeated = _collect_bitmap(arrow_map(sent, twice, blob), owners, bits)
-    shared = spark.sparkContext.broadcast(repeated)
 
     def send_segments(batches):
-        marked, out, size, limit = _Bitmap(shared.value, bits), [], 0, HELD
-        for _, _, doc, at, _, key, whole in _cut_batches(batches, length, gram):
-            hit = marked(key)
-            e = np.empty(int(hit.sum()), dtype=_ENTRY)
-            e["key"], e["hash"], e["doc"], e["at"] = key[hit], whole[hit], doc[hit], at[hit]
-            out.append(e)
+        """Distinct segments of a task by bucket; those at later places are marks already."""
+        held, size, limit = [], 0, HELD
+
+        def sent(bucket, columns, gone=None):
+            values = [*(columns or [None] * len(_SENT)), gone]
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], ["bucket", *_SENT, "gone"])
+
+        def reduced():
+            e, later = _firsts(np.concatenate(held) if held else np.zeros(0, dtype=_ENTRY))
+            runs = np.stack(_runs(later["doc"], later["at"], later["n"]), axis=1)
+            return [e], [sent(int(abs(part[0, 0])) % owners, None, part.tobytes()) for part in (runs[low : low + PACKED] for low in range(0, len(runs), PACKED))]
+
+        for _, _, doc, at, n, key, whole in _cut_batches(batches, length, gram):
+            e = np.empty(len(key), dtype=_ENTRY)
+            e["key"], e["hash"], e["doc"], e["at"], e["n"] = key, whole, doc, at, n
+            held.append(e)
             size += len(e)
             if size > limit:  # reduced on the way, so that a task holds distinct segments and no more
-                out = [_firsts(np.concatenate(out))]
-                size = len(out[0])
+                held, gone = reduced()
+                yield from gone
+                size = len(held[0])
                 limit = max(HELD, 2 * size)
-        e = _firsts(np.concatenate(out)) if out else np.zeros(0, dtype=_ENTRY)
-        yield from _blobs((b, e[s].tobytes()) for b, s in _parts(e["key"], owners))
+        held, gone = reduced()
+        yield from gone
+        for bucket, s in _parts(held[0]["key"], owners):
+            part = held[0][s]
+            for low in range(0, len(part), PACKED):
+                yield sent(bucket, _pack(part[low : low + PACKED], owners))
 
     def own_segments(batches):
-        """First segments as marks, and two bitmap slices: anchors with several segments, anchors with very many."""
-        bucket, e = _held(batches, _ENTRY)
-        if not len(e):
-            return
-        e = _firsts(e)
-        keys, n = np.unique(e["key"], return_counts=True)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([1, 2], pa.int32()), pa.array([bucket] * 2, pa.int32()), pa.array([int(n[n > 1].sum())] * 2, pa.int64()),
-                pa.array([0, 0], pa.int64()), pa.array([_slice(keys[n > 1], bucket, owners, bits), _slice(keys[n > hot], bucket, owners, bits)], pa.binary()),
-            ],
-            ["kind", "bucket", "doc_id", "at", "data"],
-        )
-        for low in range(0, len(e), 1 << 16):
-            part = e[low : low + (1 << 16)]
-            zero = pa.array(np.zeros(len(part), dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [zero, zero, *[pa.array(np.ascontiguousarray(part[c])) for c in ("doc", "at")], pa.nulls(len(part), pa.binary())],
-                ["kind", "bucket", "doc_id", "at", "data"],
-            )
-
-    sent = arrow_map(rows, send_segments, blob).repartitionById(owners, F.col("bucket"))
-    owned = written(arrow_map(sent, own_segments, "kind int, bucket int, doc_id long, at long, data binary"), "segments")
-    first = owned.filter("kind = 0").select("doc_id", "at", F.lit(0).cast("bigint").alias("n"))
-    several = spark.sparkContext.broadcast(_collect_bitmap(owned.filter("kind = 1"), owners, bits))
-    many = spark.sparkContext.broadcast(_collect_bitmap(owned.filter("kind = 2"), owners, bits))
-    distinct = owned.filter("kind = 1").agg(F.sum("doc_id").alias("n")).first().n or 0
-    sorters = _power_of_two(2 * distinct * (length + 40) / SORTED)
+        """Marks (kind 0), and segments whose bytes are to be sorted as a whole (kind 1) or window by window (kind 2)."""
+        for bucket, parts in _by_bucket(batches):
+            columns = [[v for p in parts for v in p.column(i).to_pylist() if v is not None] for i in range(1, len(_SENT) + 2)]
+            for gone in columns.pop():
+                yield from _mark_rows(*np.frombuffer(gone, dtype=np.int64).reshape(-1, 3).T)
+            e, later = _firsts(_unpack(columns, bucket, owners))
+            yield from _mark_rows(later["doc"], later["at"], later["n"])
+            _, number, n = np.unique(e["key"], return_inverse=True, return_counts=True)
+            kind = np.where(n > hot, 2, 1)[number]
+            e, kind = e[n[number] > 1], kind[n[number] > 1]
+            yield from _mark_rows(e["doc"], e["at"], e["n"], e["key"].astype(np.int64), kind)
+
+    schema = ", ".join(["bucket int", *(f"{c} binary" for c in _SENT), "gone binary"])
+    sent = _dealt(arrow_map(rows, send_segments, schema), owners)
+    owned = written(arrow_map(sent, own_segments, "doc_id long, at long, n long, key long, kind long"), "segments")
+    wanted = owned.filter("kind > 0")
+    sorters = _power_of_two(2 * wanted.count() * (length + 40) / SORTED)
+    asked = wanted.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("at", "n", "key", "kind")).alias("asked"))
+    asked = asked.select("id", *(F.col(f"asked.{c}").alias(c) for c in ("at", "n", "key", "kind")))
+    asked = rows.join(asked, F.col("doc_id") == F.col("id")).select("doc_id", "text", "at", "n", "key", "kind")
 
     def send_bytes(batches):
-        """Distinct segments of anchors with several, or windows of anchors with very many, with their smallest place in the task.
-
-        Later segments of a kind are removed as a whole anyway; a later window becomes a mark at once.
-        """
-        marked, spread, held, later, size = _Bitmap(several.value, bits), _Bitmap(many.value, bits), {}, [], 0
+        """Segments as a whole, or each window of them, with their smallest place in the task; a later window becomes a mark at once."""
+        held, later, size = {}, [], 0
         shift = 65 - sorters.bit_length()
-        for texts, number, docs_, at, n, key, _ in _cut_batches(batches, length, gram):
-            hit = np.flatnonzero(marked(key))
-            columns = (number[hit], docs_[hit], at[hit], n[hit], key[hit], spread(key[hit]))
-            for i, doc, start, count, k, single in zip(*(c.tolist() for c in columns), strict=True):
-                for s in range(start, start + count) if single else (start,):
-                    piece = texts[i][s : s + (length if single else count + length - 1)]
-                    h = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "big") if single else k
-                    where = h >> shift if sorters > 1 else 0
-                    place = held.get((where, piece))
-                    if place is None:
-                        size += len(piece)
-                    elif single and place != (doc, s):
-                        later.append(max(place, (doc, s)))
-                    if place is None or (doc, s) < place:
-                        held[where, piece] = (doc, s)
-            if size + 16 * len(later) > 16 << 20:
-                yield from _segment_rows(held, later, sorters)
-                held, later, size = {}, [], 0
+        for b in batches:
+            for doc, text, *lists in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for start, count, key, kind in zip(*lists, strict=True):
+                    single = kind == 2
+                    for s in range(start, start + count) if single else (start,):
+                        piece = text[s : s + (length if single else count + length - 1)]
+                        h = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "big") if single else key & (1 << 64) - 1
+                        where = h >> shift if sorters > 1 else 0
+                        place = held.get((where, piece))
+                        if place is None:
+                            size += len(piece)
+                        elif single and place != (doc, s):
+                            later.append(max(place, (doc, s)))
+                        if place is None or (doc, s) < place:
+                            held[where, piece] = (doc, s)
+                if size + 16 * len(later) > 16 << 20:
+                    yield from _segment_rows(held, later, sorters)
+                    held, later, size = {}, [], 0
         yield from _segment_rows(held, later, sorters)
 
     def sort(batches):
-        """Suffix arrays of the fine buckets of a task, one after the other."""
-        buckets: dict[int, dict[bytes, tuple[int, int]]] = {}
-        for b in batches:
-            known = b.filter(pc.greater(b.column(3), 0))
-            if known.num_rows:
-                yield known.select(["doc_id", "at", "n"])
-            later = []
-            for bucket, doc, at, n, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if n:
-                    continue
-                held = buckets.setdefault(bucket, {})
-                place = held.get(text)
-                if place is not None and place != (doc, at):
-                    later.append((*max(place, (doc, at)), len(text) - length + 1))
-                if place is None or (doc, at) < place:
-                    held[text] = (doc, at)
-            if later:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.array(later, dtype=np.int64).T], ["doc_id", "at", "n"])
-        while buckets:
-            _, held = buckets.popitem()
+        """A suffix array for each bucket."""
+        for _, parts in _by_bucket(batches):
+            held: dict[bytes, tuple[int, int]] = {}
+            for b in parts:
+                known = b.filter(pc.greater(b.column(3), 0))
+                if known.num_rows:
+                    yield known.select(["doc_id", "at", "n"])
+                later = []
+                for _, doc, at, n, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if n:
+                        continue
+                    place = held.get(text)
+                    if place is not None and place != (doc, at):
+                        later.append((*max(place, (doc, at)), len(text) - length + 1))
+                    if place is None or (doc, at) < place:
+                        held[text] = (doc, at)
+                if later:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.array(later, dtype=np.int64).T], ["doc_id", "at", "n"])
+            if not held:
+                continue
             sizes = np.array([len(t) for t in held])
             text = np.frombuffer(b"".join(held), dtype=np.uint8)
             inside = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -501,20 +498,22 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in _runs(doc[found], at[found])], ["doc_id", "at", "n"])
 
-    tasks = max(1, sorters // FINE)
-    sent = arrow_map(rows, send_bytes, "bucket int, doc_id long, at long, n long, text binary")
-    dealt = sent.repartitionById(tasks, (F.col("bucket") / F.lit(sorters // tasks)).cast("int"))
+    dealt = _dealt(arrow_map(asked, send_bytes, "bucket int, doc_id long, at long, n long, text binary"), sorters)
     again = written(arrow_map(dealt, sort, "doc_id long, at long, n long"), "repeated-windows")
-    return first.unionByName(again), repeated, bits
+    return owned.filter("kind = 0").select("doc_id", "at", "n").unionByName(again)
 
 
-def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places as runs: document, first window, number of windows."""
+def _runs(doc: np.ndarray, at: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, of ``n`` windows or of one, as runs: document, first window, number of windows."""
+    n = np.ones(len(at), dtype=np.int64) if n is None else n
     order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    head = np.concatenate([[0], np.flatnonzero((doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)) + 1])
+    doc, at, n = doc[order], at[order], n[order]
+    if not len(at):
+        return doc, at, n
+    # places of one document that repeat come from repeated rows and have the same windows
+    head = np.concatenate([[0], np.flatnonzero((doc[1:] != doc[:-1]) | (at[1:] > (at + n)[:-1])) + 1])
     last = np.concatenate([head[1:], [len(at)]]) - 1
-    return doc[head], at[head], at[last] - at[head] + 1
+    return doc[head], at[head], at[last] + n[last] - at[head]
 
 
 def _segment_rows(held: dict, later: list, sorters: int) -> Iterator[pa.RecordBatch]:
@@ -540,27 +539,18 @@ def _segment_rows(held: dict, later: list, sorters: int) -> Iterator[pa.RecordBa
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, ``kept`` (the bytes that stay)."""
     rows = identified(docs).select("row", F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    found, repeated, bits = marks(rows.select(F.col("row").alias("doc_id"), F.col("text").cast("string")), length, gram, hot)
-    shared = docs.sparkSession.sparkContext.broadcast(repeated)
-    listed = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("at", "n")).alias("marks"))
-    texts = rows.withColumnRenamed("row", "id")
-    joined = texts.join(listed, "id", "left").select("doc_id", "text", F.col("marks.at").alias("ats"), F.col("marks.n").alias("ns"))
+    found = marks(rows.select(F.col("row").alias("doc_id"), "text"), length, gram, hot)
+    listed = found.groupBy(F.col("doc_id").alias("row")).agg(F.collect_list(F.struct("at", "n")).alias("marks"))
+    joined = rows.join(listed, "row", "left").select("doc_id", "text", F.col("marks.at").alias("ats"), F.col("marks.n").alias("ns"))
 
     def run(batches):
-        marked = _Bitmap(shared.value, bits)
         for b in batches:
             rows = []
             ids, texts = b.column(0), b.column(1).to_pylist()
-            number, at, n, key, _ = segments(texts, length, gram)
-            cuts = np.searchsorted(number, np.arange(len(texts) + 1))
-            doubtful = marked(key)
-            for i, (text, ats, ns) in enumerate(zip(texts, b.column(2), b.column(3), strict=True)):
-                raw, own = np.frombuffer(text, dtype=np.uint8), slice(cuts[i], cuts[i + 1])
-                a, m = (np.asarray(x.values, dtype=np.int64) if x.is_valid else np.zeros(0, np.int64) for x in (ats, ns))
-                gone = doubtful[own] & ~np.isin(at[own], a[m == 0])
-                first = np.concatenate([at[own][gone], a[m > 0]])
-                last = first + np.concatenate([n[own][gone], m[m > 0]]) + length - 1
-                edge = np.bincount(first, minlength=len(raw) + 1) - np.bincount(last, minlength=len(raw) + 1)
+            for text, ats, ns in zip(texts, b.column(2), b.column(3), strict=True):
+                raw = np.frombuffer(text, dtype=np.uint8)
+                first, n = (np.asarray(x.values, dtype=np.int64) if x.is_valid else np.zeros(0, np.int64) for x in (ats, ns))
+                edge = np.bincount(first, minlength=len(raw) + 1) - np.bincount(first + n + length - 1, minlength=len(raw) + 1)
                 cover = np.cumsum(edge[:-1]) > 0
                 stay = raw[~cover].tobytes()
                 spans = int(np.count_nonzero(cover[1:] & ~cover[:-1])) + int(bool(len(cover) and cover[0]))
