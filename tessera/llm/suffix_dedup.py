@@ -49,8 +49,8 @@ GRAM = 20
 HOT = 2048
 #: Text bytes that a bucket gets anchors of, and segment bytes that a suffix array is built of.
 OWNED, SORTED = 8 << 20, 128 << 10
-#: Buckets that a task takes one after the other, and the number of tasks from which on each takes more.
-FINE, MOST_TASKS = 16, 1 << 16
+#: Buckets that an owner task and a sorting task take one after the other, and the number of tasks from which on each takes more.
+OWNER_FINE, FINE, MOST_TASKS = 4, 16, 1 << 16
 #: Segments that a task holds before it keeps the first of each kind.
 HELD = 1 << 20
 #: A text is cut this many window starts at a time; short texts are cut together, up to so many bytes.
@@ -225,9 +225,9 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa
         yield now, held
 
 
-def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+def _dealt(rows: DataFrame, buckets: int, fine: int) -> DataFrame:
     """Rows by bucket, a power of two, with neighbouring buckets in one task and sorted there."""
-    tasks = min(max(1, buckets // FINE), MOST_TASKS)
+    tasks = min(max(1, buckets // fine), MOST_TASKS)
     return rows.repartitionById(tasks, F.expr(f"bucket div {buckets // tasks}").cast("int")).sortWithinPartitions("bucket")
 
 
@@ -436,7 +436,7 @@ def marks(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
             yield from _mark_rows(e["doc"], e["at"], e["n"], e["key"].astype(np.int64), kind)
 
     schema = ", ".join(["bucket int", *(f"{c} binary" for c in _SENT), "gone binary"])
-    sent = _dealt(arrow_map(rows, send_segments, schema), owners)
+    sent = _dealt(arrow_map(rows, send_segments, schema), owners, OWNER_FINE)
     owned = written(arrow_map(sent, own_segments, "doc_id long, at long, n long, key long, kind long"), "segments")
     wanted = owned.filter("kind > 0")
     sorters = _power_of_two(2 * wanted.count() * (length + 40) / SORTED)
@@ -498,7 +498,7 @@ def marks(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in _runs(doc[found], at[found])], ["doc_id", "at", "n"])
 
-    dealt = _dealt(arrow_map(asked, send_bytes, "bucket int, doc_id long, at long, n long, text binary"), sorters)
+    dealt = _dealt(arrow_map(asked, send_bytes, "bucket int, doc_id long, at long, n long, text binary"), sorters, FINE)
     again = written(arrow_map(dealt, sort, "doc_id long, at long, n long"), "repeated-windows")
     return owned.filter("kind = 0").select("doc_id", "at", "n").unionByName(again)
 
