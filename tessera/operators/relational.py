@@ -39,6 +39,36 @@ def theta_join(left: DataFrame, right: DataFrame, *conditions: Column, how: str
     return left.join(right, all_of(*conditions), how)
 
 
+def cell_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, *conditions: Column, rows: int = 2048) -> DataFrame:
+    """Inner join on a key of few values, and on ``conditions``, where each key has many rows on both sides.
+
+    A plain join hands a key to one task. Here a key's rows are dealt into chunks of about ``rows`` on either side, and every pair of chunks is a cell that
+    some task joins: all pairs are made, and a task holds one chunk at a time. A row is sent once for each chunk opposite, that is
+    2 / ``rows`` rows a pair compared. The counts are one row a key and are broadcast, so the key must have few values; for others :func:`theta_join` does.
+
+    Chunks are told by a hash of the row's own columns, so a task that runs again sends the same rows; equal rows share a chunk. Select the needed columns before.
+    """
+
+    def keys(df: DataFrame, key: str, n_left: int, n_right: int) -> DataFrame:
+        return df.select(F.col(key).alias("__key"), F.lit(n_left).alias("__left"), F.lit(n_right).alias("__right"))
+
+    counts = keys(left, left_key, 1, 0).unionAll(keys(right, right_key, 0, 1)).groupBy("__key").agg(F.sum("__left").alias("__left"), F.sum("__right").alias("__right"))
+    counts = counts.filter("__left > 0 AND __right > 0").select("__key", *[F.ceil(F.col(c) / rows).alias(c) for c in ("__left", "__right")])
+
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as few bytes make many pairs, and adaptive execution would merge by bytes
+
+    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        dealt = df.join(F.broadcast(counts), F.col(key) == F.col("__key"))
+        chunk = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.col(own))
+        cells = dealt.withColumns({own: chunk, other: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1))})
+        return cells.drop("__key").repartition(tasks, F.col(key), F.col("__left"), F.col("__right"))
+
+    right = dealt(right, right_key, "__right", "__left").withColumnsRenamed({"__left": "__left_2", "__right": "__right_2"})
+    same_cell = all_of(compare_columns(left_key, "=", right_key), compare_columns("__left", "=", "__left_2"), compare_columns("__right", "=", "__right_2"))
+    joined = dealt(left, left_key, "__left", "__right").join(right.hint("merge"), all_of(same_cell, *conditions))
+    return joined.drop("__left", "__right", "__left_2", "__right_2")
+
+
 def _aggregate(df: DataFrame, kind: str, column: str | None) -> Column:
     boolean = column not in (None, "*") and kind.lower() in ("sum", "avg") and df.select(column).dtypes[0][1] == "boolean"
     return aggregate_column(kind, column, boolean)

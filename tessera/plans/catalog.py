@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.engine import Engine
-from tessera.functions import all_of, any_of, compare, compare_columns
-from tessera.operators import derived, global_agg, project, scalar_lookup, sort_by, theta_join, vs_global_agg, where
+from tessera.functions import any_of, compare, compare_columns
+from tessera.operators import cell_join, derived, global_agg, project, scalar_lookup, sort_by, theta_join, vs_global_agg, where
 from tessera.sources import read_csv, read_tables, write_result
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -273,7 +273,15 @@ _plan(
     "SELECT c.c_custkey, s.s_suppkey FROM customer c, supplier s WHERE c.c_nationkey = s.s_nationkey AND c.c_acctbal < s.s_acctbal",
 )(
     lambda c, s: project(
-        theta_join(c, s, all_of(compare_columns("c_nationkey", "=", "s_nationkey"), compare_columns("c_acctbal", "<", "s_acctbal"))), "c_custkey", "s_suppkey"
+        cell_join(
+            project(c, "c_custkey", "c_nationkey", "c_acctbal"),
+            project(s, "s_suppkey", "s_nationkey", "s_acctbal"),
+            "c_nationkey",
+            "s_nationkey",
+            compare_columns("c_acctbal", "<", "s_acctbal"),
+        ),
+        "c_custkey",
+        "s_suppkey",
     )
 )
 _sql("join_explicit", "customer orders", "SELECT c.c_name, o.o_totalprice FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey")

@@ -1,7 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.plans import ORACLES, QUERIES
-from tests.oracle import assert_same
+from tests.oracle import assert_same, duck
 
 SF = "/root/testdata/sf0.01"
 
@@ -30,3 +31,20 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_multi_pred_deals_one_nation_to_many_tasks(spark, tmp_path):
+    c = spark.range(0, 5000, numPartitions=1).selectExpr(
+        "id AS c_custkey", "int(IF(id % 100 = 0, null, IF(id < 20, id, 3))) AS c_nationkey", "IF(id % 77 = 0, null, double(id * 37 % 1000)) AS c_acctbal"
+    )
+    s = spark.range(0, 4500, numPartitions=1).selectExpr(
+        "id AS s_suppkey", "int(IF(id % 90 = 0, null, IF(id < 30, id, 3))) AS s_nationkey", "IF(id % 91 = 0, null, double(id * 53 % 900)) AS s_acctbal"
+    )
+    c.union(c.limit(40)).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    s.coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    df = QUERIES["join_multi_pred"](spark, str(tmp_path))
+    total = "count(*) AS n, sum(c_custkey) AS c, sum(s_suppkey) AS s, sum(c_custkey * s_suppkey % 1009) AS cs"
+    theirs = duck(str(tmp_path)).execute(f"SELECT {total} FROM ({ORACLES['join_multi_pred']})").fetchone()
+    assert tuple(df.selectExpr(*total.split(", ")).first()) == tuple(int(x) for x in theirs)
+    tasks = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(tasks) > 2 and max(tasks) < 0.6 * sum(tasks)
